@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from cinetable.llm.nearest import events_near_speech
+from cinetable.llm.pieces import oversized, split_texts
 from cinetable.llm.runs import detection_runs
 
 
@@ -22,5 +24,51 @@ def p4_runs(spark: SparkSession, folder: str) -> DataFrame:
     return detection_runs(_table(spark, folder, "detection"))
 
 
-QUERIES = {"p4_found": p4_found, "p4_runs": p4_runs}
-SQL: dict[str, str] = {}
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Transcript windows above the limit, and those with as long a stretch without white space."""
+    return oversized(_table(spark, folder, "chunks"), ["video_id", "chunk_id"], "text")
+
+
+def p3_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    """The pieces of every transcript window, each with the window's times."""
+    windows = _table(spark, folder, "chunks").dropDuplicates(["video_id", "chunk_id"])
+    return split_texts(windows.select("video_id", "chunk_id", "start_sec", "end_sec", "text"), "text")
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Each OCR event with the nearest utterance of its video within five seconds."""
+    found = events_near_speech(_table(spark, folder, "ocr_event"), _table(spark, folder, "utterance"))
+    return found.select("event_id", "video_id", "utt_id")
+
+
+_P3_SQL = """
+select distinct video_id, chunk_id, kind from (
+  select video_id, chunk_id, 'over_limit' as kind from chunks where length(text) > 1200
+  union all
+  select video_id, chunk_id, 'no_space' from chunks
+  where length(text) > 1200 and list_max(list_transform(regexp_split_to_array(text, '\\s+'), lambda x: length(x))) > 1200)
+"""
+
+_P5_SQL = """
+with ev as (
+  select distinct event_id, cast(round(ts * 1000) as bigint) as at_ms,
+         regexp_replace(regexp_replace(lower(trim(video_id)), '\\.(mp4|mkv)$', ''), '[\\s-]+', '_', 'g') as entity
+  from ocr_event where ts is not null),
+ut as (
+  select distinct video_id, utt_id, cast(round(start_sec * 1000) as bigint) as s, cast(round(end_sec * 1000) as bigint) as e
+  from utterance where start_sec is not null and end_sec is not null),
+near as (
+  select event_id, u.video_id, utt_id, s, greatest(s - at_ms, at_ms - e, 0) as d
+  from ev join ut u on u.video_id = ev.entity and s < e and at_ms between s - 5000 and e + 5000)
+select event_id, video_id, utt_id from near
+qualify row_number() over (partition by event_id order by d, s desc, utt_id) = 1
+"""
+
+QUERIES = {
+    "p3_found": p3_found,
+    "p3_pieces": p3_pieces,
+    "p4_found": p4_found,
+    "p4_runs": p4_runs,
+    "p5_found": p5_found,
+}
+SQL: dict[str, str] = {"p3_found": _P3_SQL, "p5_found": _P5_SQL}
