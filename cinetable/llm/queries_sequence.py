@@ -7,12 +7,24 @@ from pyspark.sql import DataFrame, SparkSession
 from cinetable.llm.nearest import events_near_speech
 from cinetable.llm.pieces import oversized, split_texts
 from cinetable.llm.runs import detection_runs
+from cinetable.llm.turns import speaker_turns
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Speaker turns with their first and last utterance."""
+    turns = speaker_turns(_table(spark, folder, "utterance"), texts=False)
+    return turns.select("video_id", "first_utt_id", "last_utt_id", "speaker")
+
+
+def p2_turns(spark: SparkSession, folder: str) -> DataFrame:
+    """Speaker turns with times and clean text."""
+    return speaker_turns(_table(spark, folder, "utterance"))
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     """Runs of two or more detections with the ids of their first and last."""
     runs = detection_runs(_table(spark, folder, "detection"), min_count=2, whole=False)
@@ -65,6 +77,8 @@ qualify row_number() over (partition by event_id order by d, s desc, utt_id) = 1
 """
 
 QUERIES = {
+    "p2_found": p2_found,
+    "p2_turns": p2_turns,
     "p3_found": p3_found,
     "p3_pieces": p3_pieces,
     "p4_found": p4_found,
