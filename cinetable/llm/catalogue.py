@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from cinetable.llm import queries_sequence as _sequence
+from cinetable.llm import queries_text as _text
 
-QUERIES = dict(_sequence.QUERIES)
-SQL = dict(_sequence.SQL)
+QUERIES = _sequence.QUERIES | _text.QUERIES
+SQL = _sequence.SQL | _text.SQL
