@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from cinetable.llm.containers import pack_documents
+from cinetable.llm.encodings import repair_texts
 from cinetable.llm.tokens import token_ids
 
 
@@ -27,5 +28,23 @@ def p9_containers(spark: SparkSession, folder: str) -> DataFrame:
     return pack_documents(_table(spark, folder, "documents"))
 
 
-QUERIES = {"p8_ids": p8_ids, "p9_found": p9_found, "p9_containers": p9_containers}
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that hold characters garbled by a wrong encoding."""
+    documents = _table(spark, folder, "documents").select("doc_id", "text")
+    return repair_texts(documents, "text").where("is_garbled").select("doc_id")
+
+
+def p10_restored(spark: SparkSession, folder: str) -> DataFrame:
+    """The garbled documents with the original text where it can be had."""
+    documents = _table(spark, folder, "documents").select("doc_id", "text")
+    return repair_texts(documents, "text").where("is_garbled").drop("is_garbled")
+
+
+QUERIES = {
+    "p8_ids": p8_ids,
+    "p9_found": p9_found,
+    "p9_containers": p9_containers,
+    "p10_found": p10_found,
+    "p10_restored": p10_restored,
+}
 SQL: dict[str, str] = {}
