@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from cinetable.llm.containers import pack_documents
 from cinetable.llm.encodings import repair_texts
+from cinetable.llm.languages import detect_languages, mislabelled, train, training_sample
 from cinetable.llm.tokens import token_ids
 
 
@@ -13,6 +15,32 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def _spoken_and_shown(spark: SparkSession, folder: str) -> DataFrame:
+    """Utterances and OCR events as one table of texts with their declared labels."""
+    spoken = _table(spark, folder, "utterance").select(
+        F.lit("utterance").alias("src"), "video_id", F.col("utt_id").alias("rec_id"), "text", F.col("lang").alias("label")
+    )
+    shown = _table(spark, folder, "ocr_event").select(
+        F.lit("ocr_event").alias("src"), "video_id", F.col("event_id").alias("rec_id"), F.col("ocr_text").alias("text"), F.col("lang").alias("label")
+    )
+    return spoken.unionByName(shown)
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Records whose label is missing or wrong, or whose text mixes languages."""
+    texts = _spoken_and_shown(spark, folder)
+    model = train(training_sample(texts, "text", "label"))
+    found = mislabelled(detect_languages(texts, "text", model), "text", "label")
+    return found.select("src", "video_id", "rec_id", F.col("languages").alias("langs")).distinct()
+
+
+def p7_languages(spark: SparkSession, folder: str) -> DataFrame:
+    """Every record with its language, confidence and single-language stretches."""
+    texts = _spoken_and_shown(spark, folder)
+    model = train(training_sample(texts, "text", "label"))
+    return detect_languages(texts.dropDuplicates(["src", "video_id", "rec_id"]), "text", model).drop("text")
+
+
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     """The token ids of every document."""
     return token_ids(_table(spark, folder, "documents"))
@@ -41,6 +69,8 @@ def p10_restored(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "p7_found": p7_found,
+    "p7_languages": p7_languages,
     "p8_ids": p8_ids,
     "p9_found": p9_found,
     "p9_containers": p9_containers,
