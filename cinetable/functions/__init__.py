@@ -1 +1 @@
-
+"""Column expressions: time text, transcript text, JSON, vectors."""
