@@ -57,8 +57,7 @@ def tokens(text: Column, *, remove_stop_words: bool = True, full_unicode: bool =
     words = F.split(F.trim(F.regexp_replace(plain, r"[^a-z0-9]+", " ")), " ")
     words = F.filter(words, lambda w: w != "")
     if remove_stop_words:
-        stops = F.array(*(F.lit(w) for w in STOP_WORDS))
-        words = F.filter(words, lambda w: (F.length(w) > 1) & ~F.array_contains(stops, w))
+        words = F.filter(words, lambda w: (F.length(w) > 1) & ~w.isin(STOP_WORDS))
     return words
 
 

@@ -21,6 +21,7 @@ from cinetable.functions.text import tokens
 from cinetable.operators.joins import with_neighbours
 from cinetable.operators.windows import top_per_group
 from cinetable.plans.columns import col
+from cinetable.plans.lineage import materialise
 
 K1, B, FLOOR = 1.5, 0.75, 0.25
 RRF_K, MISSING_RANK = 60, 10_000
@@ -57,22 +58,20 @@ def build_lexical(docs: DataFrame, index: str, text: str, *, remove_stop_words:
     split = docs.select(
         col(index).alias("index"), F.coalesce(tokens(col(text), remove_stop_words=remove_stop_words), F.array().cast("array<string>")).alias("_t")
     )
-    totals = split.agg(F.count("*").alias("n"), F.avg(F.size("_t")).alias("avgdl")).first()
-    postings = (
-        split.select("index", F.size("_t").alias("dl"), F.explode("_t").alias("term"))
-        .groupBy("index", "term", "dl")
-        .agg(F.count("*").alias("tf"))
+    whole = materialise(split.withColumn("dl", F.size("_t")))
+    totals = whole.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).first()
+    postings = materialise(
+        whole.select("index", "dl", F.explode("_t").alias("term")).groupBy("index", "dl", "term").agg(F.count("*").alias("tf"))
     )
     spread = postings.groupBy("term").agg(F.count("*").alias("df"))
     raw = spread.select("term", (F.log(totals["n"] - F.col("df") + F.lit(0.5)) - F.log(F.col("df") + F.lit(0.5))).alias("_raw"))
     mean = raw.agg(F.avg("_raw")).first()[0]
     floor = F.lit(None if mean is None else mean * FLOOR).cast("double")
     weights = raw.select("term", F.when(F.col("_raw") < 0, floor).otherwise(F.col("_raw")).alias("idf"))
-    return LexicalIndex(postings, weights, split.select("index"), totals["avgdl"] or 0.0)
+    return LexicalIndex(postings, weights, whole.select("index"), totals["avgdl"] or 0.0)
 
 
-def bm25_scores(lexical: LexicalIndex, queries: DataFrame, query: str = "query_id", text: str = "text") -> DataFrame:
-    """query, index, score of every document that holds a word of the query; repeated words count again."""
+def _gains(lexical: LexicalIndex, queries: DataFrame, query: str, text: str) -> DataFrame:
     asked = (
         queries.select(col(query).alias("query"), F.explode(tokens(col(text))).alias("term"))
         .groupBy("query", "term")
@@ -81,21 +80,23 @@ def bm25_scores(lexical: LexicalIndex, queries: DataFrame, query: str = "query_i
     )
     tf, norm = F.col("tf"), (1 - B + B * F.col("dl") / F.lit(lexical.avgdl))
     gain = F.col("times") * F.col("idf") * tf * (K1 + 1) / (tf + K1 * norm)
-    return lexical.postings.join(asked, "term").groupBy("query", "index").agg(F.sum(gain).alias("score"))
+    return lexical.postings.join(asked, "term").select("query", "index", gain.alias("gain"))
+
+
+def bm25_scores(lexical: LexicalIndex, queries: DataFrame, query: str = "query_id", text: str = "text") -> DataFrame:
+    """query, index, score of every document that holds a word of the query; repeated words count again."""
+    return _gains(lexical, queries, query, text).groupBy("query", "index").agg(F.sum("gain").alias("score"))
 
 
 def bm25_top(lexical: LexicalIndex, queries: DataFrame, k: int, query: str = "query_id", text: str = "text") -> DataFrame:
     """query, index, score, rank of the best ``k`` (R4, O4). Documents without a word of the query have score 0 and
     fill up the list in order of index."""
-    scored = bm25_scores(lexical, queries, query, text)
     # among the 2k smallest indexes at least k are unmatched whenever fewer than k match
     spare = [row["index"] for row in lexical.documents.orderBy("index").limit(2 * k).collect()]
-    some = F.array(*(F.lit(i) for i in spare)) if spare else F.array().cast("array<bigint>")
-    empty = queries.select(col(query).alias("query"), F.explode(some.cast("array<bigint>")).alias("index"))
-    filled = scored.unionByName(
-        empty.join(scored.select("query", "index"), ["query", "index"], "left_anti").withColumn("score", F.lit(0.0))
-    )
-    return top_per_group(filled, ["query"], [F.col("score").desc(), F.col("index").asc()], k)
+    some = F.array(*(F.lit(i) for i in spare)) if spare else F.array()
+    empty = queries.select(col(query).alias("query"), F.explode(some.cast("array<bigint>")).alias("index"), F.lit(0.0).alias("gain"))
+    scored = _gains(lexical, queries, query, text).unionByName(empty).groupBy("query", "index").agg(F.sum("gain").alias("score"))
+    return top_per_group(scored, ["query"], [F.col("score").desc(), F.col("index").asc()], k)
 
 
 def dense_top(
