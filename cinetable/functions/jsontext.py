@@ -21,11 +21,8 @@ def json_field(text: Column, path: str) -> Column:
 def json_paths(df: DataFrame, text: str) -> list[str]:
     """All dotted paths to values that are no objects, sorted. Aggregated on the executors; the
     result has one row per distinct path."""
-    found = (
-        df.select(F.schema_of_variant_agg(safe_json(col(text))).alias("s")).first()["s"]
-        if df.columns
-        else None
-    )
+    objects = df.select(safe_json(F.when(col(text).rlike(r"^\s*\{"), col(text))).alias("_v")).where("_v is not null")
+    found = objects.agg(F.schema_of_variant_agg("_v")).first()[0]
     return sorted(_paths(found or "VOID"))
 
 

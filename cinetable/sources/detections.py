@@ -13,7 +13,7 @@ from cinetable.functions.jsontext import json_field
 from cinetable.operators.positions import with_position
 from cinetable.plans.columns import col
 from cinetable.schemas import CHUNK, DETECTION_CSV
-from cinetable.sources.faulty import assemble_lines, parse_records
+from cinetable.sources.faulty import assemble_lines, csv_lines, parse_records
 
 REQUIRED = tuple(f.name for f in DETECTION_CSV)
 
@@ -61,14 +61,13 @@ def read_raw_records(spark: SparkSession, *paths: str, header: bool = True) -> D
     """path, record_no and raw of the records of CSV files; a line end inside quotes doesn't end a record.
 
     A file is assembled by one task; files are spread over tasks."""
-    files = spark.read.option("wholetext", True).text(list(paths)).select(F.input_file_name().alias("path"), F.col("value"))
+    files = spark.read.text(list(paths), wholetext=True).select(F.input_file_name().alias("path"), F.col("value"))
     schema = "path string, record_no bigint, raw string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                lines = text.splitlines(keepends=True) if "\n" in text else [text]
-                records = [r.rstrip("\r\n") for r in assemble_lines(iter(lines))][int(header) :]
+                records = [r.rstrip("\r\n") for r in assemble_lines(iter(csv_lines(text)))][int(header) :]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([path] * len(records), pa.string()), pa.array(range(len(records)), pa.int64()), pa.array(records, pa.string())],
                     names=["path", "record_no", "raw"],

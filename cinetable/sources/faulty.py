@@ -56,7 +56,7 @@ def split_record(raw: str) -> list[str]:
     """The fields of one CSV record; quoted fields may hold line ends."""
     csv.field_size_limit(sys.maxsize)
     try:
-        records = list(csv.reader(_csv_lines(raw.rstrip("\r\n")), strict=True))
+        records = list(csv.reader(csv_lines(raw.rstrip("\r\n")), strict=True))
     except csv.Error as error:
         raise Fault("quoting") from error
     if len(records) != 1:
@@ -64,7 +64,7 @@ def split_record(raw: str) -> list[str]:
     return records[0]
 
 
-def _csv_lines(raw: str) -> list[str]:
+def csv_lines(raw: str) -> list[str]:
     # str.splitlines would also split at characters that are no line ends in CSV
     return re.findall(r"[^\r\n]*(?:\r\n|\r|\n)|[^\r\n]+", raw)
 

@@ -14,9 +14,7 @@ ARROW = r"^\s*(.*?)\s*-->\s*(.*?)\s*$"
 
 def read_files(spark: SparkSession, *paths: str) -> DataFrame:
     """path and content of text files, one row each."""
-    return (
-        spark.read.option("wholetext", True).text(list(paths)).select(F.input_file_name().alias("path"), F.col("value").alias("content"))
-    )
+    return spark.read.text(list(paths), wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("content"))
 
 
 def parse_subtitles(files: DataFrame, *, lenient: bool = False) -> DataFrame:
