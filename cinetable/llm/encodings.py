@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from cinetable.plans.columns import col
+from cinetable.plans.columns import col, free_name, other_columns
 
 #: UTF-8 bytes read by these single-byte encodings.
 UTF8_READ_AS = ("cp1252", "latin-1", "cp1250", "cp1251", "cp1254", "mac_roman", "cp437", "cp850", "iso8859-15")
@@ -116,6 +116,8 @@ def plausible(ch: str, left: str, right: str) -> float:
         return -4.5 if ch in COMMON_UPPER else -6.5
     if ch == "’":
         return -3.0 if left in letters and right != "d" else -5.0
+    if ch in "‹›":
+        return -6.0
     if ch == "‘" or ch in OPENING:
         return -3.5 if left in ("s", "p") and right not in ("s",) else -9.0
     if ch in CLOSING:
@@ -181,6 +183,25 @@ def _restore_run(run: str, state: State) -> list[tuple[int, int, str]]:
     return found
 
 
+def _broken(run: str) -> list[tuple[int, int]]:
+    """UTF-8 sequences read as cp1252 that lack their last byte."""
+    bytes_of = STATES[0].bytes_of
+    data, found, i = [bytes_of.get(ch, 0) for ch in run], [], 0
+    while i < len(run):
+        if sequence := _sequence(data, i):
+            i += sequence[1]
+            continue
+        stop = i + 1
+        while stop < len(run) and 0x80 <= data[stop] <= 0xBF and stop < i + 3:
+            stop += 1
+        if 0xE0 <= data[i] <= 0xF4 and stop > i + 1:
+            found.append((i, stop))
+            i = stop
+        else:
+            i += 1
+    return found
+
+
 @lru_cache(maxsize=50_000)
 def emissions(run: str, left: str, right: str) -> tuple[np.ndarray, np.ndarray, float]:
     """Of a run without ASCII: log-emissions (characters x states), where a state's
@@ -196,6 +217,9 @@ def emissions(run: str, left: str, right: str) -> tuple[np.ndarray, np.ndarray,
             table[i, CLEAN] -= 5.0  # a capital within a word of another script
         if ch == LOST:
             table[i, CLEAN], table[i, LOSS] = 2 * IMPOSSIBLE, -3.0
+    for start, stop in _broken(run):
+        table[start, LOSS], table[start + 1 : stop, LOSS] = -3.0, 0.0
+        inside[start + 1 : stop, LOSS] = True
     for s, state in enumerate(STATES, 1):
         parts = _restore_run(run, state)
         for n, (start, stop, original) in enumerate(parts):
@@ -334,10 +358,9 @@ def repair_texts(df: DataFrame, text: str) -> DataFrame:
     null text stays null and an empty one empty, neither is garbled; repeated
     rows stay repeated; input columns named like a result are replaced.
     """
-    names = {f.name for f in MADE}
-    kept = [c for c in df.columns if c != text and c not in names]
-    source = df.select(*(col(c) for c in kept), col(text).cast("string").alias("_text"))
-    schema = T.StructType([f for f in source.schema if f.name != "_text"] + list(MADE))
+    kept, held = other_columns(df, text, *MADE.names), free_name(df, "_text")
+    source = df.select(*(col(c) for c in kept), col(text).cast("string").alias(held))
+    schema = T.StructType(source.schema.fields[:-1] + list(MADE))
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from cinetable.llm.turns import clean_utterance
-from cinetable.plans.columns import col
+from cinetable.plans.columns import col, free_name, other_columns
 
 LANGUAGES = ("de", "en", "es", "fr")
 SAMPLE_TEXTS = 5_000  # labelled texts that train the network
@@ -268,10 +268,9 @@ def detect_languages(df: DataFrame, text: str, model: ByteCnn) -> DataFrame:
     stretch; repeated rows stay repeated; an empty table stays empty; input
     columns named like a result are replaced.
     """
-    names = {f.name for f in MADE}
-    kept = [c for c in df.columns if c not in names]
-    source = df.select(*(col(c) for c in kept), col(text).cast("string").alias("_text"))
-    schema = T.StructType([f for f in source.schema if f.name != "_text"] + list(MADE))
+    kept, held = other_columns(df, *MADE.names), free_name(df, "_text")
+    source = df.select(*(col(c) for c in kept), col(text).cast("string").alias(held))
+    schema = T.StructType(source.schema.fields[:-1] + list(MADE))
     arrow = to_arrow_schema(schema)
     shared = df.sparkSession.sparkContext.broadcast(model)
 

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cinetable.plans.columns import col
+from cinetable.plans.columns import col, other_columns
 
 #: What a cut may follow, from the strongest boundary to the weakest.
 BOUNDARIES = (
@@ -70,8 +70,9 @@ def split_texts(df: DataFrame, text: str, *, limit: int = 1200, overlap: int = 1
     output column is replaced.
     """
     made = ["piece_no", "piece_start", "piece_end", "overlap_chars", "piece"]
-    kept = [c for c in df.columns if c != text and c not in made]
-    parts = df.select(*(col(c) for c in kept), cores(col(text), limit, overlap).alias("_cores")).where("size(_cores) > 0")
+    kept = other_columns(df, text, *made)
+    row = F.struct(*(col(c) for c in kept)) if kept else F.struct(F.lit(0))
+    parts = df.select(row.alias("_row"), cores(col(text), limit, overlap).alias("_cores")).where("size(_cores) > 0")
     starts = F.aggregate(
         F.col("_cores"),
         F.array(F.lit(0)),
@@ -88,8 +89,8 @@ def split_texts(df: DataFrame, text: str, *, limit: int = 1200, overlap: int = 1
             core.alias("_core"),
         ),
     )
-    return parts.select(*(col(c) for c in kept), F.explode(pieces).alias("_p")).select(
-        *(col(c) for c in kept),
+    return parts.select("_row", F.explode(pieces).alias("_p")).select(
+        *(F.col("_row").getField(c).alias(c) for c in kept),
         "_p.piece_no",
         "_p.piece_start",
         "_p.piece_end",

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from cinetable.plans.columns import col
+from cinetable.plans.columns import col, free_name, other_columns
 
 TOKENIZERS = os.environ.get("CINETABLE_TOKENIZERS", "/opt/tokenizers")
 #: The pattern that belongs to the vocabulary.
@@ -219,9 +219,9 @@ def encode_column(
     is replaced.
     """
     made = T.StructField("n_tokens", T.LongType()) if counts_only else T.StructField("ids", T.ArrayType(T.IntegerType(), False))
-    kept = [c for c in df.columns if c not in (text, made.name)]
-    source = df.select(*(col(c) for c in kept), col(text).cast("string").alias("_text"))
-    schema = T.StructType([f for f in source.schema if f.name != "_text"] + [made])
+    kept, held = other_columns(df, text, made.name), free_name(df, "_text")
+    source = df.select(*(col(c) for c in kept), col(text).cast("string").alias(held))
+    schema = T.StructType(source.schema.fields[:-1] + [made])
     arrow = to_arrow_schema(schema)
     shared = df.sparkSession.sparkContext.broadcast(vocabulary or Vocabulary.load(folder=folder))
 

@@ -1,0 +1,21 @@
+import ast
+from pathlib import Path
+
+from cinetable.llm import catalogue
+
+ROOT = Path(__file__).resolve().parents[2]
+
+
+def test_every_problem_has_its_query():
+    for n in (2, 3, 4, 5, 7, 9, 10):
+        assert f"p{n}_found" in catalogue.QUERIES
+    assert "p8_ids" in catalogue.QUERIES and set(catalogue.SQL) <= set(catalogue.QUERIES)
+
+
+def test_nothing_in_the_core_imports_this_subpackage():
+    for path in (ROOT / "cinetable").rglob("*.py"):
+        if "llm" in path.relative_to(ROOT).parts:
+            continue
+        for node in ast.walk(ast.parse(path.read_text())):
+            names = [a.name for a in node.names] if isinstance(node, ast.Import) else [node.module or ""] if isinstance(node, ast.ImportFrom) else []
+            assert not any("llm" in name.split(".") for name in names), path
