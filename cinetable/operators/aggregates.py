@@ -15,7 +15,8 @@ def by_frame(detections: DataFrame, keys: list[str], frame: str = "frame_idx") -
 
     Objects are in order of label, falling confidence, then ``det_id``; ``time``
     is the first object's frame_ts; ``labels`` joins all labels, repeats
-    included; ``class_counts`` maps labels to counts. Null labels count as "".
+    included; ``class_counts`` maps labels to counts. Null labels count as "",
+    rows without a frame are left out.
     """
     label = F.coalesce("label", F.lit(""))
     item = F.struct(
@@ -27,7 +28,7 @@ def by_frame(detections: DataFrame, keys: list[str], frame: str = "frame_idx") -
         F.col("frame_ts"),
         F.col("extra"),
     )
-    grouped = detections.groupBy(*keys, frame).agg(F.array_sort(F.collect_list(item)).alias("items"))
+    grouped = detections.where(col(frame).isNotNull()).groupBy(*keys, frame).agg(F.array_sort(F.collect_list(item)).alias("items"))
     labels = F.transform("items", lambda x: x["label"])
     counts = F.map_from_entries(
         F.transform(

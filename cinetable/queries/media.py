@@ -195,7 +195,7 @@ select video_id, frame_idx, cast(n_detections as int) as n_detections, labels, c
 )
 def frame_aggregate(spark: SparkSession, folder: str) -> DataFrame:
     """Labels and class counts of every frame."""
-    rows = once(spark, folder, "detection").where("frame_idx is not null")
+    rows = once(spark, folder, "detection")
     counts = F.array_join(F.transform(F.map_entries("class_counts"), lambda e: F.concat(e["key"], F.lit(":"), e["value"].cast("string"))), ";")
     return by_frame(rows, ["video_id"]).select("video_id", "frame_idx", "n_detections", "labels", counts.alias("class_counts"))
 
