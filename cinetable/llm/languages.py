@@ -45,7 +45,7 @@ _NAMED = {code: language for language, codes in CODES.items() for code in codes.
 
 def named_language(label):
     """Column: the language that a label names, null if none of ``LANGUAGES``."""
-    code = F.regexp_extract(F.lower(F.trim(label)), r"^([^\W\d_]+)(?:[-_.@].*)?$", 1)
+    code = F.regexp_extract(F.lower(label), r"(?U)^\s*([^\W\d_]+)(?:[-_.@].*)?\s*$", 1)
     pairs = F.create_map(*(F.lit(x) for pair in _NAMED.items() for x in pair))
     return pairs[code]
 
