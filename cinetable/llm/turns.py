@@ -24,6 +24,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from cinetable.llm.runs import collapse_runs
 from cinetable.operators.interval_union import IntervalMap
 from cinetable.plans.columns import to_ms
+from cinetable.plans.lineage import materialise
 
 #: Hesitation sounds of the four transcript languages.
 FILLERS = (
@@ -293,6 +294,8 @@ def speaker_turns(utterance: DataFrame, *, gap_ms: int = 300_000, texts: bool =
     own; an empty table gives no rows; further columns are ignored.
     """
     spoken = clean_utterances(utterance).withColumn("end_ms", F.when(F.col("end_ms") >= F.col("start_ms"), F.col("end_ms")))
+    # written once: the range partitioning below reads its input twice, and cleaning is the costly part
+    spoken = materialise(spoken if texts else spoken.drop("text", "end_ms"))
     runs = collapse_runs(
         spoken, ["video_id"], "start_ms", "utt_id", ["speaker"], lambda a, b: a == b,
         gap_ms=gap_ms, end_ms="end_ms" if texts else None, text="text" if texts else None, whole=True,
