@@ -59,11 +59,7 @@ NUMBER_WORDS = {
     )
     for n, word in enumerate(words.split(), 1)
 }
-#: Shapes of time marks, every digit written as 0.
-TIME_SHAPES = [h + ":00" + tail for h in ("00:00", "0:00", "000:00") for tail in ("", ",000", ".000")] + ["00:00", "0:00", "000:00"]
-
 OPENING = {"[": "]", "(": ")", "<": ">", "{": "}", "*": "*", "♪": "♪", "♫": "♫", "【": "】"}
-_DIGITS = str.maketrans("123456789", "000000000")
 _SPACES = re.compile(r"\s+")
 _NUMBER = r"(?:no\.?|nr\.?|n°|#)?[\s_#.\-]*(\d{1,9}|[^\W\d_]+)"
 _AFTER_LABEL = re.compile(rf"[\s_#.\-]*{_NUMBER}", re.I)
@@ -71,41 +67,51 @@ _MARK_OPEN = re.compile(r"\s*(?:>>+\s*|[-–—•]\s*)?([\[(<{]?)\s*")
 _MARK_CLOSE = re.compile(r"\s*(?:\([^()]{1,20}\)\s*)?(?:[\])>}]\s*[:\-–—]?|:|>+|[-–—](?=\s))\s*")
 
 
+class _WordCharacters(dict):
+    """For ``str.translate``: characters that can't be in a word become spaces."""
+
+    def __missing__(self, code: int) -> int:
+        ch = chr(code)
+        self[code] = kept = code if ch.isalnum() or ch in "_-'’" else 32
+        return kept
+
+
+_WORD_CHARACTERS = _WordCharacters()
+_OUTER_HYPHEN = re.compile(r"(?<![^\W_])-|-(?![^\W_])")
+
+
 @lru_cache(maxsize=1)
 def automaton() -> ahocorasick.Automaton:
+    """Whole words and phrases between spaces; a label may be followed by anything."""
     built = ahocorasick.Automaton()
-    for kind, words in (("filler", FILLERS), ("drawn", DRAWN_OUT), ("note", NOTES), ("label", LABELS), ("time", TIME_SHAPES)):
+    for kind, words in (("filler", FILLERS), ("drawn", DRAWN_OUT), ("note", NOTES), ("label", LABELS)):
         for word in words:
-            built.add_word(word, (*built.get(word, ()), (kind, len(word))))
+            entry = f" {word}" if kind == "label" else f" {word} "
+            built.add_word(entry, (*built.get(entry, ()), (kind, len(word), kind != "label")))
     built.make_automaton()
     return built
 
 
-def _folded(text: str) -> str:
-    """Lower case with digits as 0, character for character."""
+def _findings(text: str) -> dict[str, list[tuple[int, int]]]:
+    """Spans of the automaton's entries in a text, by kind."""
     low = text.lower()
     if len(low) != len(text):
         low = "".join(x if len(x := ch.lower()) == 1 else ch for ch in text)
-    return low.translate(_DIGITS)
+    low = low.translate(_WORD_CHARACTERS)
+    if "-" in low:
+        low = _OUTER_HYPHEN.sub(" ", low)
+    found: dict[str, list[tuple[int, int]]] = {}
+    for last, entries in automaton().iter(f" {low} "):
+        for kind, length, closed in entries:
+            end = last - closed  # the text is shifted by the space before it
+            found.setdefault(kind, []).append((end - length, end))
+    return found
 
 
 def _wordlike(ch: str) -> bool:
     return ch.isalnum() or ch in "_'’"
 
 
-def _findings(text: str) -> dict[str, list[tuple[int, int]]]:
-    """Spans of every kind at word borders."""
-    low, found = _folded(text), {}
-    for last, entries in automaton().iter(low):
-        for kind, length in entries:
-            start, end = last + 1 - length, last + 1
-            before, after = low[start - 1 : start], low[end : end + 1]
-            if (before and _wordlike(before)) or (kind != "label" and after and _wordlike(after)):
-                continue
-            found.setdefault(kind, []).append((start, end))
-    return found
-
-
 def _number(text: str) -> int | None:
     if text.isdecimal():
         return int(text)
@@ -154,31 +160,32 @@ def _bracketed(text: str, start: int, end: int) -> tuple[int, int] | None:
     return None
 
 
-def _time_spans(text: str, spans: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
-    longest: dict[int, int] = {}
-    for start, end in spans:
-        longest[start] = max(end, longest.get(start, 0))
-    stop = -1
-    for start, end in sorted(longest.items()):
-        if start < stop or text[start - 1 : start] in (":", ".", ",") and start and text[start - 2 : start - 1].isdigit():
-            continue
-        stop = end
+_TIME = re.compile(r"(?<![\d:.,])\d{1,3}:\d{2}(?::\d{2}(?:[.,]\d{3})?)?(?![\d:])")
+_DASH = re.compile(r"\s*[-–—](?=\W|$)")
+
+
+def _time_spans(text: str) -> Iterator[tuple[int, int]]:
+    for mark in _TIME.finditer(text):
+        start, end = mark.span()
         if around := _bracketed(text, start, end):
             yield around
             continue
         exact = end - start >= 11  # with milliseconds
-        dash = re.compile(r"\s*[-–—](?=\W|$)").match(text, end)
+        dash = _DASH.match(text, end)
         at_start = not any(ch.isalnum() for ch in text[:start])
         alone = at_start and not any(ch.isalnum() for ch in text[end:])
         if exact or dash or alone or (at_start and end - start >= 7):
             yield start, dash.end() if dash else end
 
 
+_ELLIPSIS = re.compile(r"\s*(?:…|\.{2,})")
+_EMPTY = re.compile(r"\[\s*\]|\(\s*\)|<\s*>|\{\s*\}|\*\s*\*|([♪♫])(?:\s*[^\W\d_]+[,.…]*){0,3}\s*\1")
+_BRACKET = re.compile(r"[\[(<{*♪♫]")
+
+
 def _filler_spans(text: str, found: dict) -> Iterator[tuple[int, int]]:
     words = None
     for start, end in found.get("filler", ()):
-        if text[end : end + 1] == "-" and text[end + 1 : end + 2].isalnum() or text[start - 1 : start] == "-" and start > 1 and text[start - 2].isalnum():
-            continue  # part of a longer word
         if text[start:end].lower() in GERMAN_WORDS:
             if words is None:
                 words = re.findall(r"[^\W\d_]+", text.lower())
@@ -186,7 +193,7 @@ def _filler_spans(text: str, found: dict) -> Iterator[tuple[int, int]]:
                 continue
         yield start, end + (text[end : end + 1] == ",")
     for start, end in found.get("drawn", ()):
-        if ellipsis := re.compile(r"\s*(?:…|\.{2,})").match(text, end):
+        if ellipsis := _ELLIPSIS.match(text, end):
             yield start, ellipsis.end()
 
 
@@ -195,7 +202,7 @@ def _note_spans(text: str, found: dict) -> Iterator[tuple[int, int]]:
         if around := _bracketed(text, start, end):
             yield around
     # brackets that hold nothing, and note signs around at most three words
-    for empty in re.finditer(r"\[\s*\]|\(\s*\)|<\s*>|\{\s*\}|\*\s*\*|([♪♫])(?:\s*[^\W\d_]+[,.…]*){0,3}\s*\1", text):
+    for empty in _EMPTY.finditer(text):
         yield empty.span()
 
 
@@ -223,20 +230,25 @@ def clean_utterance(text: str | None) -> tuple[int | None, str]:
 
     The text is empty if nothing but these and punctuation was there.
     """
-    rest, speaker = _SPACES.sub(" ", text or "").strip(), None
-    for turn in range(6):  # a note may hold a filler, a mark may follow a time
+    rest, speaker, changed = _SPACES.sub(" ", text or "").strip(), None, False
+    for _ in range(6):  # a note may hold a filler, a mark may follow a time
         found = _findings(rest)
-        spans = [*_time_spans(rest, found.get("time", [])), *_note_spans(rest, found), *_filler_spans(rest, found)]
-        if speaker is None and (mark := _speaker_mark(rest, found.get("label", []), 0)):
+        spans = [*_filler_spans(rest, found)] if "filler" in found or "drawn" in found else []
+        if _BRACKET.search(rest):
+            spans += _note_spans(rest, found)
+        if ":" in rest:
+            spans += _time_spans(rest)
+        if "label" in found and speaker is None and (mark := _speaker_mark(rest, found["label"], 0)):
             speaker = mark[2]
             spans.append(mark[:2])
         if not spans:
             break
-        rest = _SPACES.sub(" ", subtract(rest, iter(spans))).strip()
-    if not any(ch.isalnum() for ch in rest) or set(re.findall(r"\w+", rest.lower())) <= ONLY_BESIDE_FILLERS:
+        rest, changed = _SPACES.sub(" ", subtract(rest, iter(spans))).strip(), True
+    if not any(ch.isalnum() for ch in rest) or (changed and set(re.findall(r"\w+", rest.lower())) <= ONLY_BESIDE_FILLERS):
         return speaker, ""
-    rest = _SPACES.sub(" ", _LOOSE.sub(" ", rest))
-    return speaker, _DOUBLED.sub(r"\1", rest).strip(" ,;-–—")
+    if changed:
+        rest = _DOUBLED.sub(r"\1", _SPACES.sub(" ", _LOOSE.sub(" ", rest)))
+    return speaker, rest.strip(" ,;-–—")
 
 
 CLEAN = T.StructType(
