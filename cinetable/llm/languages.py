@@ -28,7 +28,7 @@ from cinetable.plans.columns import col, free_name, other_columns
 
 LANGUAGES = ("de", "en", "es", "fr")
 SAMPLE_TEXTS = 5_000  # labelled texts that train the network
-WINDOW, STRIDE = 64, 32  # bytes
+WINDOW, STRIDE = 64, 40  # bytes
 SHORT_WORDS, SHORT_CHARS = 4, 18  # less is a name or a technical term, no stretch of its own
 KNOWN_STRETCHES = 100_000  # stretches a worker keeps
 MIN_CHARS = 40
@@ -72,30 +72,41 @@ class ByteCnn:
         self.parts["out"] = start(hidden, len(LANGUAGES))
         self.parts["bias"] = np.zeros(len(LANGUAGES), np.float32)
 
-    def _pooled(self, windows: np.ndarray) -> tuple[np.ndarray, dict[int, np.ndarray]]:
+    def _scores(self, windows: np.ndarray, width: int) -> np.ndarray:
+        """Filter scores without bias at every place: windows x places x filters."""
         embedded = self.parts["e"][windows].reshape(len(windows), -1)
+        shape = (len(windows), windows.shape[1] - width + 1, width * self.EMBEDDING)
+        strides = (embedded.strides[0], embedded.strides[1] * self.EMBEDDING, embedded.strides[1])
+        columns = np.lib.stride_tricks.as_strided(embedded, shape, strides)
+        return (columns.reshape(-1, shape[2]) @ self.parts[f"w{width}"]).reshape(shape[0], shape[1], self.FILTERS)
+
+    def _pooled(self, windows: np.ndarray) -> tuple[np.ndarray, dict[int, np.ndarray]]:
+        """Pooled filters, and the places that they come from."""
         pooled, where = [], {}
         for w in self.WIDTHS:
-            places = windows.shape[1] - w + 1
-            shape = (len(windows), places, w * self.EMBEDDING)
-            strides = (embedded.strides[0], embedded.strides[1] * self.EMBEDDING, embedded.strides[1])
-            columns = np.lib.stride_tricks.as_strided(embedded, shape, strides)
-            scores = columns.reshape(-1, shape[2]) @ self.parts[f"w{w}"]
-            scores = scores.reshape(len(windows), places, self.FILTERS)
+            scores = self._scores(windows, w)
             where[w] = scores.argmax(axis=1)
             pooled.append(np.take_along_axis(scores, where[w][:, None, :], 1)[:, 0] + self.parts[f"b{w}"])
         return np.maximum(np.concatenate(pooled, axis=1), 0), where
 
     def log_probabilities(self, windows: np.ndarray) -> np.ndarray:
         out = np.empty((len(windows), len(LANGUAGES)), np.float32)
-        for at in range(0, len(windows), 256):
-            logits = self._pooled(windows[at : at + 256])[0] @ self.parts["out"] + self.parts["bias"]
+        for at in range(0, len(windows), 128):
+            part = windows[at : at + 128]
+            pooled = [self._scores(part, w).max(axis=1) + self.parts[f"b{w}"] for w in self.WIDTHS]
+            logits = np.maximum(np.concatenate(pooled, axis=1), 0) @ self.parts["out"] + self.parts["bias"]
             logits -= logits.max(axis=1, keepdims=True)
-            out[at : at + 256] = logits - np.log(np.exp(logits).sum(axis=1, keepdims=True))
+            out[at : at + 128] = logits - np.log(np.exp(logits).sum(axis=1, keepdims=True))
         return out
 
-    def fit(self, windows: np.ndarray, labels: np.ndarray, *, epochs: int = 4, rate: float = 3e-3, seed: int = 11) -> None:
-        """Adam on the cross-entropy with slightly smoothed labels."""
+    def fit(
+        self, windows: np.ndarray, labels: np.ndarray, *, epochs: int = 4, rate: float = 3e-3, seed: int = 11, balanced: bool = False
+    ) -> None:
+        """Adam on the cross-entropy with slightly smoothed labels; ``balanced`` gives every language the same weight."""
+        weights = np.ones(len(LANGUAGES), np.float32)
+        if balanced:
+            shares = np.bincount(labels, minlength=len(LANGUAGES)) / max(1, len(labels))
+            weights = (1 / (len(LANGUAGES) * np.maximum(shares, 0.02))).astype(np.float32)
         rng = np.random.default_rng(seed)
         moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in self.parts.items()}
         step = 0
@@ -111,7 +122,7 @@ class ByteCnn:
                 error /= error.sum(axis=1, keepdims=True)
                 error -= 0.02 / len(LANGUAGES)
                 error[np.arange(len(y)), y] -= 0.98
-                error /= len(y)
+                error *= weights[y][:, None] / len(y)
                 gradients = {"out": hidden.T @ error, "bias": error.sum(axis=0)}
                 back = (error @ self.parts["out"].T) * (hidden > 0)
                 byte_gradient = np.zeros_like(self.parts["e"])
@@ -195,7 +206,8 @@ def train(samples: Sequence[tuple[str, str]], *, epochs: int = 4) -> ByteCnn:
     first.fit(windows, labels, epochs=max(1, epochs // 2))
     sound = first.log_probabilities(windows).argmax(axis=1) == labels
     model = ByteCnn()
-    model.fit(windows[sound], labels[sound], epochs=epochs)
+    # balanced only now: before, a rare language's weight would raise that of wrong labels too
+    model.fit(windows[sound], labels[sound], epochs=epochs, balanced=True)
     return model
 
 

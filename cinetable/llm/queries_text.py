@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cinetable.llm.containers import pack_documents
 from cinetable.llm.encodings import repair_texts
-from cinetable.llm.languages import detect_languages, mislabelled, train, training_sample
+from cinetable.llm.languages import MIN_CHARS, detect_languages, mislabelled, train, training_sample
 from cinetable.llm.tokens import token_ids
 
 
@@ -28,7 +28,8 @@ def _spoken_and_shown(spark: SparkSession, folder: str) -> DataFrame:
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     """Records whose label is missing or wrong, or whose text mixes languages."""
-    texts = _spoken_and_shown(spark, folder)
+    # the query asks for texts of at least this length only
+    texts = _spoken_and_shown(spark, folder).where(F.length("text") >= MIN_CHARS)
     model = train(training_sample(texts, "text", "label"))
     found = mislabelled(detect_languages(texts, "text", model), "text", "label")
     return found.select("src", "video_id", "rec_id", F.col("languages").alias("langs")).distinct()
