@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from cinetable.functions.jsontext import json_field
 from cinetable.plans.columns import col, to_ms
 from cinetable.plans.lineage import materialise
 
@@ -254,14 +255,14 @@ def detection_runs(detections: DataFrame, *, gap_ms: int = 1_000, min_count: int
     no JSON object or without ``track`` and ``text`` says neither. Null labels
     and null video_ids form sequences of their own.
     """
-    track = F.regexp_replace(F.trim(F.get_json_object("extra", "$.track")), r"\.0+$", "")
+    track = F.regexp_replace(F.trim(json_field(F.col("extra"), "$.track")), r"\.0+$", "")
     rows = detections.select(
         "video_id",
         F.lower(F.trim("label")).alias("label"),
         to_ms(F.col("frame_ts")).alias("ms"),
         "det_id",
         track.alias("track"),
-        F.get_json_object("extra", "$.text").alias("said"),
+        json_field(F.col("extra"), "$.text").alias("said"),
     )
     runs = collapse_runs(
         rows, ["video_id", "label"], "ms", "det_id", ["track", "said"], same_object,
