@@ -216,12 +216,16 @@ def training_sample(df: DataFrame, text: str, label: str, *, size: int = SAMPLE_
 
     The sample keeps the corpus' own shares of languages: in equal shares the
     wrongly labelled rows of a frequent language would weigh more among the
-    texts of a rare one. A top-n of hashes, so every task sends at most ``size`` rows.
+    texts of a rare one. They are the texts of the lowest hashes.
     """
     labelled = df.select(col(text).alias("text"), named_language(col(label)).alias("language")).where(
         F.col("language").isNotNull() & (F.length("text") >= MIN_CHARS)
-    )
-    chosen = labelled.orderBy(F.xxhash64("text"), "text", "language").limit(size)
+    ).withColumn("place", F.xxhash64("text"))
+    rows = labelled.count()
+    if rows > 3 * size:
+        # the lowest hashes only, three times as many as needed: else every task would send ``size`` rows
+        labelled = labelled.where(F.col("place") < F.lit(int(-(2**63) + 2**64 * 3 * size / rows)))
+    chosen = labelled.orderBy("place", "text", "language").limit(size)
     return [(r.text[:400], r.language) for r in chosen.collect()]
 
 
