@@ -90,13 +90,29 @@ class ByteCnn:
         return np.maximum(np.concatenate(pooled, axis=1), 0), where
 
     def log_probabilities(self, windows: np.ndarray) -> np.ndarray:
+        """All filters in one product: narrower ones have zero rows, and only the places that they fit in count."""
+        widest, size = max(self.WIDTHS), windows.shape[1]
+        filters = np.zeros((widest * self.EMBEDDING, len(self.WIDTHS) * self.FILTERS), np.float32)
+        bias = np.concatenate([self.parts[f"b{w}"] for w in self.WIDTHS])
+        for n, w in enumerate(self.WIDTHS):
+            filters[: w * self.EMBEDDING, n * self.FILTERS : (n + 1) * self.FILTERS] = self.parts[f"w{w}"]
         out = np.empty((len(windows), len(LANGUAGES)), np.float32)
-        for at in range(0, len(windows), 128):
-            part = windows[at : at + 128]
-            pooled = [self._scores(part, w).max(axis=1) + self.parts[f"b{w}"] for w in self.WIDTHS]
-            logits = np.maximum(np.concatenate(pooled, axis=1), 0) @ self.parts["out"] + self.parts["bias"]
+        padded = np.zeros((16, size + widest - 1), np.uint8)
+        hidden = np.empty((16, len(bias)), np.float32)
+        for at in range(0, len(windows), 16):
+            part = windows[at : at + 16]
+            count = len(part)
+            padded[:count, :size] = part
+            embedded = self.parts["e"][padded[:count]].reshape(count, -1)
+            strides = (embedded.strides[0], embedded.strides[1] * self.EMBEDDING, embedded.strides[1])
+            columns = np.lib.stride_tricks.as_strided(embedded, (count, size, len(filters)), strides)
+            scores = (columns.reshape(-1, len(filters)) @ filters).reshape(count, size, -1)
+            for n, w in enumerate(self.WIDTHS):
+                own = slice(n * self.FILTERS, (n + 1) * self.FILTERS)
+                scores[:, : size - w + 1, own].max(axis=1, out=hidden[:count, own])
+            logits = np.maximum(hidden[:count] + bias, 0) @ self.parts["out"] + self.parts["bias"]
             logits -= logits.max(axis=1, keepdims=True)
-            out[at : at + 128] = logits - np.log(np.exp(logits).sum(axis=1, keepdims=True))
+            out[at : at + 16] = logits - np.log(np.exp(logits).sum(axis=1, keepdims=True))
         return out
 
     def fit(
@@ -273,8 +289,8 @@ def _described(parts: list[dict]) -> tuple:
     return main, sure, "+".join(sorted(weight)), parts
 
 
-def detect_languages(df: DataFrame, text: str, model: ByteCnn) -> DataFrame:
-    """All columns of ``df``, then language, confidence, languages and stretches.
+def detect_languages(df: DataFrame, text: str, model: ByteCnn, *, with_stretches: bool = True) -> DataFrame:
+    """All columns of ``df``, then language, confidence, languages and stretches (null without ``with_stretches``).
 
     ``language`` is that of most of the text, ``languages`` all of them in
     alphabetical order joined by ``+``, ``stretches`` the single-language parts
@@ -302,6 +318,8 @@ def detect_languages(df: DataFrame, text: str, model: ByteCnn) -> DataFrame:
                 part = new[at : at + 2048]
                 known.update(zip(part, _stretch_scores(network, part)))
             done = [_described(_joined([(s, *known[s]) for s in parts])) for parts in split]
+            if not with_stretches:
+                done = [(*facts, None) for *facts, _ in done]
             arrays = [batch.column(i).cast(arrow.field(i).type) for i in range(len(kept))]
             arrays += [pa.array(v, type=arrow.field(len(kept) + i).type) for i, v in enumerate(zip(*done) if done else [()] * 4)]
             yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
