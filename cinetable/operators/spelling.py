@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -46,7 +47,9 @@ def edits_between(a: str, b: str, limit: int = MAX_EDITS) -> int:
     return min(row[-1], limit + 1)
 
 
-_edits = F.udf(lambda a, b: edits_between(a, b), T.IntegerType())
+@F.pandas_udf(T.IntegerType())
+def _edits(words: pd.Series, terms: pd.Series) -> pd.Series:
+    return pd.Series([edits_between(a, b) for a, b in zip(words, terms)], dtype="int32")
 
 
 def _forms(df: DataFrame, word: str) -> DataFrame:
