@@ -15,6 +15,7 @@ import unicodedata
 from collections.abc import Callable, Iterator, Sequence
 from functools import lru_cache
 
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -138,7 +139,11 @@ def collapse_runs(
     )
 
     # prefix merge of the partitions' first (bit 1) and last (bit 2) runs
-    compatible = F.udf(lambda *both: bool(same(both[: len(sigs)], both[len(sigs) :])), "boolean")
+    @F.pandas_udf(T.BooleanType())
+    def compatible(*both: pd.Series) -> pd.Series:
+        pairs = zip(*(column.astype(object).where(column.notna(), None) for column in both))
+        return pd.Series([bool(same(pair[: len(sigs)], pair[len(sigs) :])) for pair in pairs], dtype="bool")
+
     in_order = Window.partitionBy(*names).orderBy("_chunk", "_side")
     before = F.lag("_t1").over(in_order)
     edges = encoded.where("_side is not null").select(
