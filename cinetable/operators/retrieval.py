@@ -13,7 +13,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -159,15 +159,13 @@ def fuse_scores(lexical: DataFrame, dense: DataFrame, k: int, *, alpha: float =
 
     A missing score is 0 in the mean and the deviation of its list but has z 0 itself."""
     both = _both(lexical, dense)
-    stats = both.groupBy("query").agg(
-        *(
-            f(F.coalesce(F.col(s), F.lit(0.0))).alias(f"{n}{s}")
-            for s in ("_s1", "_s2")
-            for n, f in (("_mean", F.avg), ("_dev", F.stddev_pop))
-        )
-    )
-    z = {s: F.coalesce((F.col(s) - F.col(f"_mean{s}")) / (F.col(f"_dev{s}") + 1e-9), F.lit(0.0)) for s in ("_s1", "_s2")}
-    return _fused(both.join(stats, "query").withColumn("score", alpha * z["_s2"] + (1 - alpha) * z["_s1"]), k)
+    # a query's rows are at most the two lists, so its window is bounded by their length
+    own = Window.partitionBy("query")
+    z = []
+    for s in ("_s1", "_s2"):
+        filled = F.coalesce(F.col(s), F.lit(0.0))
+        z.append(F.coalesce((F.col(s) - F.avg(filled).over(own)) / (F.stddev_pop(filled).over(own) + 1e-9), F.lit(0.0)))
+    return _fused(both.withColumn("score", alpha * z[1] + (1 - alpha) * z[0]), k)
 
 
 def _both(lexical: DataFrame, dense: DataFrame) -> DataFrame:

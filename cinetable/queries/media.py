@@ -88,11 +88,15 @@ def interval_join_names(spark: SparkSession, folder: str) -> DataFrame:
     ).distinct()
 
 
-@query("utterances_of_video", "select start_sec, end_sec, text from utt where video_id = 'lobby_000000' order by start_sec")
-def utterances_of_video(spark: SparkSession, folder: str) -> DataFrame:
-    """One video's utterances in order."""
-    rows = table(spark, folder, "utterance").where(F.col("video_id") == "lobby_000000").dropDuplicates(KEYS["utterance"])
-    return rows.select("start_sec", "end_sec", "text").orderBy(F.col("start_sec").asc_nulls_last())
+@query(
+    "utterances_of_class",
+    "select utt.video_id, start_sec, end_sec, text from utt join video using (video_id) where vclass = 'screen' order by utt.video_id, start_sec",
+)
+def utterances_of_class(spark: SparkSession, folder: str) -> DataFrame:
+    """The utterances of screen recordings in order (F1, P2, O3): the equality filter reaches the scan of ``video``."""
+    wanted = table(spark, folder, "video").where(F.col("vclass") == "screen").select("video_id")
+    rows = once(spark, folder, "utterance", "start_sec", "end_sec", "text").join(wanted, "video_id", "left_semi")
+    return rows.select("video_id", "start_sec", "end_sec", "text").orderBy("video_id", F.col("start_sec").asc_nulls_last())
 
 
 @query("label_like", "select det_id, video_id, frame_ts as timestamp, label, conf from det where label ilike '%person%'")
