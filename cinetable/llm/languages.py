@@ -228,7 +228,7 @@ def train(samples: Sequence[tuple[str, str]], *, epochs: int = 4) -> ByteCnn:
 
 
 def training_sample(df: DataFrame, text: str, label: str, *, size: int = SAMPLE_TEXTS) -> list[tuple[str, str]]:
-    """At most ``size`` labelled texts, the same ones at every run.
+    """At most ``size`` different labelled texts, the same ones at every run.
 
     The sample keeps the corpus' own shares of languages: in equal shares the
     wrongly labelled rows of a frequent language would weigh more among the
@@ -237,11 +237,12 @@ def training_sample(df: DataFrame, text: str, label: str, *, size: int = SAMPLE_
     labelled = df.select(col(text).alias("text"), named_language(col(label)).alias("language")).where(
         F.col("language").isNotNull() & (F.length("text") >= MIN_CHARS)
     ).withColumn("place", F.xxhash64("text"))
-    rows = labelled.count()
-    if rows > 3 * size:
-        # the lowest hashes only, three times as many as needed: else every task would send ``size`` rows
-        labelled = labelled.where(F.col("place") < F.lit(int(-(2**63) + 2**64 * 3 * size / rows)))
-    chosen = labelled.orderBy("place", "text", "language").limit(size)
+    texts = labelled.agg(F.approx_count_distinct("place")).first()[0]
+    if texts > 3 * size:
+        # the lowest hashes only, about three times as many as needed: else every task would send ``size`` rows
+        labelled = labelled.where(F.col("place") < F.lit(int(-(2**63) + 2**64 * 3 * size / texts)))
+    # copies of a text count once, they would only narrow the sample
+    chosen = labelled.distinct().orderBy("place", "text", "language").limit(size)
     return [(r.text[:400], r.language) for r in chosen.collect()]
 
 
