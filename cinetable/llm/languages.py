@@ -170,7 +170,7 @@ def stretches(text: str | None) -> list[str]:
     """The parts of a text that may have a language of their own: sentences and separated phrases
     without marks, notes and fillers. Short ones (names, terms) are left out unless there is nothing else."""
     lines = [clean_utterance(line)[1] for line in (text or "").split("\n")]
-    parts = [p.strip() for line in lines for p in _BREAK.split(line) if p and any(ch.isalpha() for ch in p)]
+    parts = [p.strip(" /|·•–—-") for line in lines for p in _BREAK.split(line) if p and any(ch.isalpha() for ch in p)]
     long = [p for p in parts if len(p) >= SHORT_CHARS and len(p.split()) >= SHORT_WORDS]
     return long or ([" ".join(parts)] if parts else [])
 
@@ -208,7 +208,12 @@ def _stretch_scores(model: ByteCnn, texts: Sequence[str]) -> list[tuple[str, flo
     return [(LANGUAGES[b], float(p)) for b, p in zip(best, likely[np.arange(len(best)), best])]
 
 
-def train(samples: Sequence[tuple[str, str]], *, epochs: int = 4) -> ByteCnn:
+def _epochs(windows: int, steps: int, least: int) -> int:
+    """Passes that make at least ``steps`` batches, so that a small corpus is learned as well; at most 24."""
+    return max(least, min(24, -(-steps * 64 // max(1, windows))))
+
+
+def train(samples: Sequence[tuple[str, str]]) -> ByteCnn:
     """A network from (text, language) pairs, some of which may be wrong."""
     parts = [(s, LANGUAGES.index(language)) for text, language in sorted(samples) for s in stretches(text)[:4]]
     # screen text often comes without its accents
@@ -219,11 +224,11 @@ def train(samples: Sequence[tuple[str, str]], *, epochs: int = 4) -> ByteCnn:
     windows = np.concatenate(pieces)
     labels = np.repeat([y for _, y in parts], [len(p) for p in pieces])
     first = ByteCnn()
-    first.fit(windows, labels, epochs=max(1, epochs // 2))
+    first.fit(windows, labels, epochs=_epochs(len(windows), 250, 2))
     sound = first.log_probabilities(windows).argmax(axis=1) == labels
     model = ByteCnn()
     # balanced only now: before, a rare language's weight would raise that of wrong labels too
-    model.fit(windows[sound], labels[sound], epochs=epochs, balanced=True)
+    model.fit(windows[sound], labels[sound], epochs=_epochs(int(sound.sum()), 900, 5), balanced=True)
     return model
 
 
