@@ -29,13 +29,21 @@ def local_session(cores: int | str = "*", **settings: str) -> SparkSession:
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Add the package's own source to the Python path of the executors, once."""
+    """Add the package's own source to the Python path of the executors, once.
+
+    Spark's file server hands the archive out; it is written to the shared
+    checkpoint folder where that is a mounted one, else beside the driver.
+    """
     context = spark.sparkContext
     if context.applicationId in _SHIPPED:
         return
     here = os.path.dirname(os.path.abspath(__file__))
     root = os.path.dirname(here)
-    target = os.path.join(tempfile.mkdtemp(prefix="cinetable-"), "cinetable_src.zip")
+    shared = spark.conf.get("spark.checkpoint.dir", None) or ""
+    mounted = shared.removeprefix("file://") if shared.startswith("file:///") else shared if shared.startswith("/") else None
+    if mounted:
+        os.makedirs(mounted, exist_ok=True)
+    target = os.path.join(tempfile.mkdtemp(prefix="cinetable-", dir=mounted), "cinetable_src.zip")
     with zipfile.ZipFile(target, "w") as archive:
         for folder, _, files in os.walk(here):
             for name in files:
