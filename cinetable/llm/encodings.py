@@ -5,7 +5,8 @@ pair labels the characters; each labelled span gets its state's inverse
 transform. ASCII looks alike in every state, so a state holds on through it and
 weak signs in one text support each other. The emission of a character in a
 pair's state is how plausible the *original* character is in its place, which is
-the only table the model needs. Texts garbled twice or more are labelled again
+the only table the model needs; in a German, Spanish or French text, a letter that the
+language doesn't have counts as less plausible where a pair gives one that it has. Texts garbled twice or more are labelled again
 after each repair. One pass without a shuffle, whole texts.
 """
 
@@ -48,6 +49,15 @@ COMMON_LOWER = set("éèêëàâäáçùûüúôöóîïíñßœ")
 COMMON_UPPER = set("ÉÈÊËÀÂÄÁÇÙÛÜÚÔÖÓÎÏÍÑŒ")
 OPENING = set("“„«‹¿¡")
 CLOSING = set("”»›")
+#: Letters of the languages that single signs are judged by, and frequent words that tell them from other languages.
+ALPHABETS = {"de": set("äöüß"), "es": set("áéíóúñü"), "fr": set("àâæçéèêëîïôœùûüÿ")}
+FREQUENT = {
+    "de": "und der die das den dem ist nicht ein eine einen einer mit auf zu von sich ich wir sie für im zum zur wird werden auch noch wie bei nach vor über aber haben hat sind dass oder nur wenn kein keine",
+    "es": "el los las que y con por para una del como pero más está muy también sobre cuando hay sin este esta ese esa lo al sus entre ya",
+    "fr": "le les des et est une du dans qui pas pour avec sur ce cette il elle nous vous ils au aux ne se sont mais ou où par plus fait être après leur",
+}
+VOWELS = set("aeiouyäöü")
+FOREIGN = -10.5  # a clean letter that the text's language doesn't have, where a pair gives one that it has
 SIGNS = set("€£¥§©®™½¼¾±×÷²³µ¹ªº°•·†‡‰←→↑↓−≤≥≈∞")
 
 
@@ -78,6 +88,21 @@ STATES = _states()
 CLEAN, LOSS = 0, len(STATES) + 1  # positions in the vectors; LOSS: replaced, the original is gone
 
 
+def _telling(alphabet: set[str]) -> dict[str, frozenset[int]]:
+    """Small Latin letters outside an alphabet, with the states that take them back to a letter of it."""
+    found: dict[str, set[int]] = {}
+    for s, state in enumerate(STATES, 1):
+        for ch, b in state.bytes_of.items() if state.charset is not None else ():
+            if ch.islower() and ch not in alphabet and unicodedata.name(ch, "").startswith("LATIN") and state.charset[b] in alphabet:
+                found.setdefault(ch, set()).add(s)
+    return {ch: frozenset(states) for ch, states in found.items()}
+
+
+TELLING = {language: _telling(alphabet) for language, alphabet in ALPHABETS.items()}
+_FREQUENT = {language: frozenset(words.split()) for language, words in FREQUENT.items()}
+_WORD = regex.compile(r"\p{L}+")
+
+
 @lru_cache(maxsize=4096)
 def _kind(ch: str) -> str:
     """s space or edge, p punctuation, d digit, l lower, u upper, or the script of another letter."""
@@ -254,13 +279,58 @@ def _runs(text: str) -> list[tuple[int, list[str], str, str, str]]:
     return found
 
 
+def _language(text: str) -> str | None:
+    """The language of ``ALPHABETS`` that a text's frequent words tell, None if they tell none or several."""
+    words = [w.lower() for w in _WORD.findall(text)]
+    counts = sorted(((sum(w in own for w in words), language) for language, own in _FREQUENT.items()), reverse=True)
+    (most, language), (second, _) = counts[:2]
+    return language if most >= 2 and most > 2 * second and most >= 0.08 * len(words) else None
+
+
+def _with_foreign(text: str, runs: list, tables: list) -> list:
+    """The tables, where single letters that the text's language doesn't have are implausible as they stand.
+
+    Spelling alone can't tell a name of another language: capitalised words count in German only, whose nouns
+    are, a word with another letter that the language doesn't have stays as it is, and so does a letter of another
+    of the languages, but for a ß that doesn't follow a vowel."""
+    seen = set().union(*(characters for _, _, characters, _, _ in runs))
+    if not any(seen & telling.keys() for telling in TELLING.values()) or (language := _language(text)) is None:
+        return tables
+    telling, alphabet, out = TELLING[language], ALPHABETS[language], []
+    for (start, units, characters, left, _), (table, inside, gain) in zip(runs, tables):
+        if not telling.keys() & set(characters):
+            out.append((table, inside, gain))
+            continue
+        table, stop = table.copy(), start + sum(map(len, units))
+        first, last = start, stop
+        while first and text[first - 1].isalpha():
+            first -= 1
+        while last < len(text) and text[last].isalpha():
+            last += 1
+        others = set(text[first:start] + text[stop:last])
+        native = all(ch.isascii() or ch.lower() in alphabet or ch in telling for ch in others) and (language == "de" or not text[first].isupper())
+        for i, ch in enumerate(characters):
+            before = characters[i - 1] if i else left
+            borrowed = ch in COMMON_LOWER and (ch != "ß" or before and before.lower() in VOWELS)
+            if native and last - first > 1 and ch in telling and not borrowed and (less := table[i, CLEAN] - FOREIGN) > 0:
+                table[i, CLEAN] = FOREIGN
+                for s in range(1, LOSS):
+                    if s not in telling[ch]:
+                        table[i, s] -= less
+        out.append((table, inside, float((table[:, 1:] - table[:, :1]).clip(min=0).sum(axis=0).max())))
+    return out
+
+
 def label(text: str) -> list[tuple[int, list[str], str, list[int]]]:
     """(start, spellings, characters, states) of the runs that hold a state other than clean, by Viterbi's algorithm."""
     if text.isascii() and "&" not in text:
         return []
     runs = _runs(text)
     tables = [emissions(characters, left, right) for _, _, characters, left, right in runs]
-    if not tables or sum(gain for _, _, gain in tables) < -ENTER:
+    if not tables:
+        return []
+    tables = _with_foreign(text, runs, tables)
+    if sum(gain for _, _, gain in tables) < -ENTER:
         return []
     steps = np.concatenate([table for table, _, _ in tables])
     goes_on = np.concatenate([inside for _, inside, _ in tables])

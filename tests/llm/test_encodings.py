@@ -42,6 +42,19 @@ def test_single_bytes_misread(true, read):
     assert repair(text.encode(true).decode(read))[0] == text
 
 
+def test_single_weak_signs():
+    """One sign among sound letters of the text's language is enough; names and other languages stay."""
+    sound = "In dem Hof sind für die Gäste noch zwei leere Plätze und auch über dem Tor hängt ein Schild."
+    assert repair(sound.replace("Plätze", "Plõtze")) == (sound, ["cp1252 as cp850"], False)
+    assert repair("Il est dans la rue avec le père et la mčre, qui ne parle pas.")[0] == "Il est dans la rue avec le père et la mère, qui ne parle pas."
+    assert repair("El hombre que está en los ßrboles no habla con el niño.")[0] == "El hombre que está en los árboles no habla con el niño."
+    for kept in (
+        "Kovač est dans la rue avec le père, Dvořák aussi, et il ne parle pas.", "El libro que lee con la niña es una œuvre de los Voß, y está en la groß mesa.",
+        "Põhjus on selles, et õpetaja ütles nii ja läks ära.", "Der Zug und die Bahn sind in Łódź, nicht in São Paulo.",
+    ):
+        assert repair(kept) == (kept, [], False)
+
+
 def test_places_entities_and_loss():
     assert repair("before CafÃ© – and the château")[0] == "before Café – and the château"
     assert repair("TodavÃ\xada")[0] == "Todavía"
