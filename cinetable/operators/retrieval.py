@@ -270,7 +270,8 @@ def search(
     and more; ``vectors``: index, vector. ``method`` is ``bm25``, ``embed``,
     ``rrf`` or, like any other name, the weighted fusion; ``rerank`` is None,
     ``cross`` (with ``scorer``) or ``mmr``. Fusion cuts its lists at
-    ``max(k, overfetch)``, which is part of the result, not only of the speed."""
+    ``max(k, overfetch)``, which is part of the result, not only of the speed. A
+    query without a text or without a vector is fused with an empty list."""
     fetch = max(k, overfetch)
     asked = queries.withColumnRenamed("query_id", "query")
     parts: dict[str, Callable[[], DataFrame]] = {
@@ -281,9 +282,10 @@ def search(
         found, name = parts[method](), method
     else:
         fuse = fuse_ranks if method == "rrf" else lambda a, b, n: fuse_scores(a, b, n, alpha=alpha)
-        found, name = fuse(parts["bm25"](), parts["embed"](), fetch), f"hybrid-{method}"
+        lexical_hits = bm25_top(lexical, queries.where("text is not null"), fetch)
+        found, name = fuse(lexical_hits, parts["embed"](), fetch), f"hybrid-{method}"
     if rerank == "cross":
-        texts = asked.select("query", F.col("text").alias("query_text"))
+        texts = asked.select("query", F.coalesce("text", F.lit("")).alias("query_text"))
         judged = rerank_by_pairs(found.join(chunks.select("index", "text"), "index").join(texts, "query"), scorer, k)
         return hits_of(judged.select("query", "index", "score", "rank"), chunks, f"{name}+cross")
     if rerank == "mmr":

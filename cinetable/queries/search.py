@@ -114,10 +114,10 @@ def _length_match(queries, texts) -> list[float]:
 
 
 def search_hybrid(spark: SparkSession, folder: str) -> DataFrame:
-    """The whole search (R12, R9, J6): fusion, reranking by pairs, chunk columns."""
+    """The whole search (R12, R9, J6): fusion, reranking by pairs, chunk columns; questions may lack the text or the vector."""
     chunks = _chunks(spark, folder)
     texts = _text_queries(spark, folder).withColumn("query_id", F.col("query_id") - 50)
-    asked = texts.join(_vector_queries(spark, folder).withColumnRenamed("query", "query_id"), "query_id")
+    asked = texts.join(_vector_queries(spark, folder).withColumnRenamed("query", "query_id"), "query_id", "full_outer")
     lexical = R.build_lexical(chunks, "index", "text")
     hits = R.search(chunks, lexical, asked, _vectors(spark, folder), rerank="cross", scorer=_length_match)
     return hits.withColumn("score", F.round("score", 6))

@@ -264,3 +264,28 @@ def test_search_and_context(spark):
     text = R.context_text(R.passages(hits, chunks, before=1, after=0)).first().context
     assert text == "### Passage 1 | Main: 00:00:04,000–00:00:04,500\n[00:00:04,000–00:00:04,500] gate gate gate\n[00:00:03,000–00:00:03,500] nothing here"
     assert R.timecodes(hits).first().start == 4
+
+
+def test_search_with_a_missing_text_or_vector(spark):
+    chunks = spark.createDataFrame([(i, "ab", t) for i, t in enumerate(["blue sky", "red car", "green tree"])], "index long, start_srt string, text string")
+    vectors = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [0.6, 0.8])], "index long, vector array<double>")
+    asked = spark.createDataFrame([(1, "red car", None), (2, None, [1.0, 0.0]), (3, "tree", [0.0, 1.0])], "query_id long, text string, vector array<double>")
+    lexical = R.build_lexical(chunks, "index", "text")
+    got = {(r.query, r["rank"]): (r["index"], r.score) for r in R.search(chunks, lexical, asked, vectors, k=3).collect()}
+    order = {1: [1, 0, 2], 2: [0, 2, 1]}  # of the only list
+    for q, places in order.items():
+        for rank, index in enumerate(places, 1):
+            assert got[q, rank] == (index, pytest.approx(1 / (60 + rank) + 1 / 10_060))
+    assert len(got) == 9
+
+
+def test_hybrid_query_keeps_texts_without_vectors(spark, monkeypatch):
+    from cinetable.queries import search
+
+    chunks = spark.createDataFrame([(0, "red car"), (1, "blue sky")], "index long, text string")
+    vectors = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0])], "index long, vector array<double>")
+    monkeypatch.setattr(search, "_chunks", lambda *_: chunks)
+    monkeypatch.setattr(search, "_vectors", lambda *_: vectors)
+    monkeypatch.setattr(search, "_text_queries", lambda *_: spark.createDataFrame([(50, "red"), (100, "sky")], "query_id long, text string"))
+    monkeypatch.setattr(search, "_vector_queries", lambda *_: spark.createDataFrame([(0, [1.0, 0.0]), (150, [0.0, 1.0])], "query long, vector array<double>"))
+    assert {r.query for r in search.search_hybrid(spark, "").collect()} == {0, 50, 150}
