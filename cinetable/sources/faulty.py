@@ -102,14 +102,23 @@ def parse_detection(raw: str | None) -> tuple:
     return frame_ts, label, conf, x1, y1, x2, y2, extra
 
 
+def _bigint(text: str) -> int | None:
+    """A whole number of any length; null where a bigint can't hold it."""
+    digits = text.lstrip("+-").lstrip("0")
+    if len(digits) > 19:  # int() refuses very long ones
+        return None
+    number = int(digits or "0") * (-1 if text.startswith("-") else 1)
+    return number if -(2**63) <= number < 2**63 else None
+
+
 def parse_cue(raw: str | None) -> tuple:
-    """One subtitle block as typed fields, or a Fault."""
+    """One subtitle block as typed fields, or a Fault. A cue number that no bigint holds is null."""
     lines = (raw or "").removeprefix("﻿").replace("\r\n", "\n").split("\n")
     while lines and not lines[-1].strip():
         lines.pop()
     number = None
     if lines and _INTEGER_LINE.fullmatch(lines[0]):
-        number = int(lines.pop(0).strip()[:18])
+        number = _bigint(lines.pop(0).strip())
     if len(lines) < 2 or "-->" not in lines[0]:
         raise Fault("columns")
     first = lines[1].lstrip()

@@ -112,3 +112,11 @@ def test_records_of_a_file(spark, tmp_path):
     path.write_text('frame_ts,label,conf,x1,y1,x2,y2,extra\n1,"two\nlines",0.5,1,2,3,4,\n1,dog\n2,cat,0.5,1,2,3,4,{}\n')
     rows = read_detections_with_faults(spark, str(path)).orderBy("record_no").collect()
     assert [(r.label, r.reason) for r in rows] == [("two\nlines", None), (None, "columns"), ("cat", None)]
+
+
+@pytest.mark.parametrize(
+    ("line", "want"),
+    [("0" * 19 + "1", 1), ("-" + "0" * 5000 + "7", -7), (str(2**63 - 1), 2**63 - 1), (str(-(2**63)), -(2**63)), (str(2**63), None), ("9" * 5000, None), ("+" + "0" * 30, 0)],
+)
+def test_long_cue_numbers(line, want):
+    assert parse_cue(f"{line}\n{TIMES}\na")[0] == want
