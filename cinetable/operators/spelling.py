@@ -2,13 +2,15 @@
 
 Symmetric deletion: two words within two edits share a form that is left after
 at most two deletions from each. So candidates come from an equi-join on these
-forms, never from comparing all pairs; the distance is then checked exactly
+forms, never from comparing all pairs. The forms of a long word would be too many:
+there a term is cut in parts, more than two edits can touch, so that one stands in
+the word unchanged, moved by two places at most. The distance is then checked exactly
 (insert, delete, replace, swap of neighbours).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 import pyarrow as pa
@@ -52,12 +54,36 @@ def _edits(words: pd.Series, terms: pd.Series) -> pd.Series:
     return pd.Series([edits_between(a, b) for a, b in zip(words, terms)], dtype="int32")
 
 
-def _forms(df: DataFrame, word: str) -> DataFrame:
+PARTS = 2 * MAX_EDITS + 1  # a swap across a border touches two parts
+
+
+def _cuts(length: int) -> list[tuple[int, int]]:
+    """Start and stop of the ``PARTS`` parts of a term."""
+    return [(length * n // PARTS, length * (n + 1) // PARTS) for n in range(PARTS)]
+
+
+def term_parts(term: str) -> set[str]:
+    """The parts of a term, each with the term's length and its own number."""
+    return {f"{len(term)} {n} {term[a:b]}" for n, (a, b) in enumerate(_cuts(len(term)))}
+
+
+def word_parts(word: str) -> set[str]:
+    """The parts that a term within two edits of the word can share with it."""
+    return {
+        f"{length} {n} {word[a + move : b + move]}"
+        for length in range(len(word) - MAX_EDITS, len(word) + MAX_EDITS + 1)
+        for n, (a, b) in enumerate(_cuts(length))
+        for move in range(-MAX_EDITS, MAX_EDITS + 1)
+        if 0 <= a + move and b + move <= len(word)
+    }
+
+
+def _forms(df: DataFrame, word: str, forms_of: Callable[[str], set[str]] = deletions) -> DataFrame:
     schema = f"{word} string, form string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pairs = [(w, form) for w in batch.column(0).to_pylist() for form in deletions(w)]
+            pairs = [(w, form) for w in batch.column(0).to_pylist() for form in forms_of(w)]
             for at in range(0, len(pairs), 50_000):
                 words, forms = zip(*pairs[at : at + 50_000])
                 yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(forms, pa.string())], names=[word, "form"])
@@ -69,15 +95,18 @@ def corrections(texts: DataFrame, text: str, dictionary: DataFrame, *, longest:
     """text, corrected, edits for every distinct text: the dictionary's term with the fewest edits (at most two),
     then the greatest count, then the first in order; the text itself with null edits if there is none.
 
-    Texts above ``longest`` characters are compared only for equality, since their
-    forms grow with the square of the length. Null texts are left out."""
+    Texts above ``longest`` characters are found by parts of the terms instead of deletions,
+    whose forms grow with the square of the length. Null texts are left out."""
     distinct = texts.select(col(text).alias("word")).where("word is not null").distinct()
     terms = dictionary.select("term", "cnt").where("term is not null")
     near = _forms(distinct.where(F.length("word").between(1, longest)), "word").join(
         _forms(terms.where(F.length("term").between(1, longest + MAX_EDITS)), "term"), "form"
     ).select("word", "term").distinct()
+    far = _forms(distinct.where(F.length("word") > longest), "word", word_parts).join(
+        _forms(terms.where(F.length("term") > longest - MAX_EDITS), "term", term_parts), "form"
+    ).select("word", "term").distinct()
     exact = distinct.join(terms.select(F.col("term").alias("word")), "word").select("word", F.col("word").alias("term"))
-    judged = near.unionByName(exact).distinct().withColumn("edits", _edits("word", "term")).where(F.col("edits") <= MAX_EDITS)
+    judged = near.unionByName(far).unionByName(exact).distinct().withColumn("edits", _edits("word", "term")).where(F.col("edits") <= MAX_EDITS)
     best = judged.join(terms, "term").groupBy("word").agg(
         F.min_by(F.struct("term", "edits"), F.struct("edits", -F.col("cnt"), "term")).alias("_b")
     )

@@ -1,3 +1,4 @@
+import random
 import sqlite3
 
 import pytest
@@ -102,3 +103,23 @@ def test_spelling_equals_brute_force(spark):
         best = min(((edits_between(w, t), -n, t) for t, n in terms if edits_between(w, t) <= 2), default=None) if w else None
         assert got[w] == ((best[2], best[0]) if best else (w, None)), w
     assert edits_between("ab", "ba") == 1 and edits_between("abcd", "a") == 3 and deletions("ab") == {"ab", "a", "b", ""}
+
+
+def test_spelling_of_long_words_equals_brute_force(spark):
+    rng = random.Random(3)
+
+    def changed(word):
+        for _ in range(rng.choice((1, 2, 2, 3))):
+            i, kind = rng.randrange(len(word) - 1), rng.randrange(4)
+            word = (word[:i] + "x" + word[i:], word[:i] + word[i + 1 :], word[:i] + "x" + word[i + 1 :], word[:i] + word[i + 1] + word[i] + word[i + 2 :])[kind]
+        return word
+
+    terms = [("".join(rng.choice("abcdefgh") for _ in range(rng.randrange(22, 40))), n % 5) for n in range(60)]
+    words = [changed(rng.choice(terms)[0]) for _ in range(400)] + [t for t, _ in terms]
+    # both swaps lie across borders of the parts
+    words += [t[:i] + t[i + 1] + t[i] + t[i + 2 : j] + t[j + 1] + t[j] + t[j + 2 :] for t, _ in terms[:10] for k in (1, 2) for i, j in [(len(t) * k // 5 - 1, len(t) * (k + 2) // 5 - 1)]]
+    df = spark.createDataFrame([(w,) for w in words], "w string")
+    got = {r.text: (r.corrected, r.edits) for r in corrections(df, "w", spark.createDataFrame(terms, "term string, cnt long")).collect()}
+    for w in words:
+        best = min(((edits_between(w, t), -n, t) for t, n in terms if edits_between(w, t) <= 2), default=None)
+        assert got[w] == ((best[2], best[0]) if best else (w, None)), w
