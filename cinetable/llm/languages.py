@@ -6,7 +6,7 @@ language. It is trained here, in numpy, on labelled rows of the corpus itself;
 the labels are partly wrong, so the rows that a first model firmly contradicts
 are left out of a second training. The network is applied to batches of windows
 inside ``mapInArrow``: one pass, no shuffle, whole texts. The training sample
-(at most ``SAMPLE_TEXTS`` texts) and the weights (about
+(at most ``SAMPLE_TEXTS`` whole texts) and the weights (about
 100 KB) are all that the driver holds.
 """
 
@@ -215,7 +215,7 @@ def _epochs(windows: int, steps: int, least: int) -> int:
 
 def train(samples: Sequence[tuple[str, str]]) -> ByteCnn:
     """A network from (text, language) pairs, some of which may be wrong."""
-    parts = [(s, LANGUAGES.index(language)) for text, language in sorted(samples) for s in stretches(text)[:4]]
+    parts = [(s, LANGUAGES.index(language)) for text, language in sorted(samples) for s in stretches(text)]
     # screen text often comes without its accents
     parts += [(plain, y) for s, y in parts if (plain := without_accents(s)) != s]
     pieces = [windows_of(s) for s, _ in parts]
@@ -248,7 +248,7 @@ def training_sample(df: DataFrame, text: str, label: str, *, size: int = SAMPLE_
         labelled = labelled.where(F.col("place") < F.lit(int(-(2**63) + 2**64 * 3 * size / texts)))
     # copies of a text count once, they would only narrow the sample
     chosen = labelled.distinct().orderBy("place", "text", "language").limit(size)
-    return [(r.text[:400], r.language) for r in chosen.collect()]
+    return [(r.text, r.language) for r in chosen.collect()]
 
 
 # --- the operator -----------------------------------------------------------

@@ -90,3 +90,12 @@ def test_sample_is_bounded_and_repeatable(spark):
     df = spark.createDataFrame([(sentence(rng, "en") + str(i), "en") for i in range(300)] + [(None, "en"), ("x", "en"), (sentence(rng, "de"), "it")], "t string, l string")
     sample = L.training_sample(df, "t", "l", size=50)
     assert len(sample) == 50 and sample == L.training_sample(df.repartition(5), "t", "l", size=50)
+
+
+def test_whole_texts_train(spark, monkeypatch):
+    text = " ".join(sentence(random.Random(i), "en") for i in range(9))
+    assert L.training_sample(spark.createDataFrame([(text, "en")], "t string, l string"), "t", "l") == [(text, "en")]
+    seen = []
+    monkeypatch.setattr(L, "windows_of", lambda s, windows=L.windows_of: seen.append(s) or windows(s))
+    L.train([(text, "en")])
+    assert seen == L.stretches(text) and len(seen) == 9
