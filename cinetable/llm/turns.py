@@ -11,7 +11,7 @@ holds a large share of all rows is spread over many tasks.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
 import ahocorasick
@@ -35,9 +35,19 @@ FILLERS = (
 DRAWN_OUT = ["este", "pues", "bueno"]
 #: Words that are no speech where nothing else is left.
 ONLY_BESIDE_FILLERS = {"ben", "este", "bah"}
-#: Fillers that are words of German.
+#: Fillers that are words of German: there only where nothing but fillers is left.
 GERMAN_WORDS = {"um", "er"}
-GERMAN_CONTEXT = set("der die das den dem des ein eine einen und ist nicht mit auf für sich wird noch sie wir ich zu im am".split())
+#: Frequent words that tell German from the other languages, and such words of these.
+GERMAN_CONTEXT = set(
+    "der die das den dem des ein eine einen einem einer und ist sind nicht mit auf für sich wird werden noch sie wir ich zu zum zur im am "
+    "aber auch aus bei beim bis bitte da dann dass dem denn dort durch euch gegen geht gehen gibt habe haben hat heute hier ihm ihn ihr immer "
+    "ja jetzt kann kein keine kommt kommen los macht man mehr mir mich morgen muss nach nur oder schon sehr sein seine so soll über uhr uns "
+    "unter vom von vor war warum was weil wenn wer wie wieder wo ohne zwei drei vier fünf sechs sieben acht neun zehn elf zwölf".split()
+)
+OTHER_CONTEXT = set(
+    "the a an and is are was were not with on for to of in it this that we you i he she they at by be have has go "
+    "el la los las un una y es no con en para por que se le les des du et est pas avec dans sur qui il elle nous vous".split()
+)
 
 #: Words and phrases of sound notes; they count inside brackets or note signs.
 NOTES = (
@@ -48,7 +58,10 @@ NOTES = (
 ).split("|")
 
 #: Words that stand before a speaker's number.
-LABELS = "spk speaker sprecher sprecherin intervenant intervenante locuteur locutrice hablante orador interlocutor spkr s".split()
+LABELS = "spk speaker sprecher sprecherin intervenant intervenante locuteur locutrice hablante orador interlocutor spkr".split()
+#: A label of one letter begins many words; it counts only before one of these.
+SHORT_LABEL = "s"
+BEFORE_NUMBER = " _-n" + "".join(ch for ch in map(chr, range(0x20000)) if ch.isdecimal())
 NUMBER_WORDS = {
     word: n
     for words in (
@@ -60,7 +73,6 @@ NUMBER_WORDS = {
     for n, word in enumerate(words.split(), 1)
 }
 OPENING = {"[": "]", "(": ")", "<": ">", "{": "}", "*": "*", "♪": "♪", "♫": "♫", "【": "】"}
-_SPACES = re.compile(r"\s+")
 _NUMBER = r"(?:no\.?|nr\.?|n°|#)?[\s_#.\-]*(\d{1,9}|[^\W\d_]+)"
 _AFTER_LABEL = re.compile(rf"[\s_#.\-]*{_NUMBER}", re.I)
 _MARK_OPEN = re.compile(r"\s*(?:>>+\s*|[-–—•]\s*)?([\[(<{]?)\s*")
@@ -84,10 +96,11 @@ _OUTER_HYPHEN = re.compile(r"(?<![^\W_])-|-(?![^\W_])")
 def automaton() -> ahocorasick.Automaton:
     """Whole words and phrases between spaces; a label may be followed by anything."""
     built = ahocorasick.Automaton()
-    for kind, words in (("filler", FILLERS), ("drawn", DRAWN_OUT), ("note", NOTES), ("label", LABELS)):
-        for word in words:
-            entry = f" {word}" if kind == "label" else f" {word} "
-            built.add_word(entry, (*built.get(entry, ()), (kind, len(word), kind != "label")))
+    entries = [(kind, word, f" {word} ", 1) for kind, words in (("filler", FILLERS), ("drawn", DRAWN_OUT), ("note", NOTES)) for word in words]
+    entries += [("label", word, f" {word}", 0) for word in LABELS]
+    entries += [("label", SHORT_LABEL, f" {SHORT_LABEL}{after}", 1) for after in BEFORE_NUMBER]
+    for kind, word, entry, closed in entries:
+        built.add_word(entry, (*built.get(entry, ()), (kind, len(word), closed)))
     built.make_automaton()
     return built
 
@@ -133,6 +146,8 @@ def named_speaker(label: str | None) -> int | None:
 
 def _speaker_mark(text: str, labels: list[tuple[int, int]], begin: int) -> tuple[int, int, int] | None:
     """(start, end, number) of a speaker mark at ``begin``: it must be bracketed or closed by a sign."""
+    if any(map(str.isalnum, text[begin : min(labels)[0]])):
+        return None
     opening = _MARK_OPEN.match(text, begin)
     for start, end in labels:
         if start != opening.end():
@@ -149,15 +164,17 @@ def _speaker_mark(text: str, labels: list[tuple[int, int]], begin: int) -> tuple
 
 
 def _bracketed(text: str, start: int, end: int) -> tuple[int, int] | None:
-    """The span with its brackets, if it is all that they hold."""
-    left, right = start - 1, end
-    while left >= 0 and text[left].isspace():
-        left -= 1
-    while right < len(text) and text[right].isspace():
-        right += 1
-    if left >= 0 and right < len(text) and OPENING.get(text[left]) == text[right]:
-        return left, right + 1
-    return None
+    """The span with the brackets, in as many layers as there are, that hold nothing else."""
+    around = None
+    while True:
+        left, right = start - 1, end
+        while left >= 0 and text[left].isspace():
+            left -= 1
+        while right < len(text) and text[right].isspace():
+            right += 1
+        if left < 0 or right >= len(text) or OPENING.get(text[left]) != text[right]:
+            return around
+        start, end = around = left, right + 1
 
 
 _TIME = re.compile(r"(?<![\d:.,])\d{1,3}:\d{2}(?::\d{2}(?:[.,]\d{3})?)?(?![\d:])")
@@ -183,13 +200,20 @@ _EMPTY = re.compile(r"\[\s*\]|\(\s*\)|<\s*>|\{\s*\}|\*\s*\*|([♪♫])(?:\s*[^\W
 _BRACKET = re.compile(r"[\[(<{*♪♫]")
 
 
-def _filler_spans(text: str, found: dict) -> Iterator[tuple[int, int]]:
-    words = None
-    for start, end in found.get("filler", ()):
+def _is_german(text: str, fillers: list[tuple[int, int]], german: bool) -> bool:
+    """Whether the words beside the fillers are German; ``german`` decides where they don't tell."""
+    words = set(re.findall(r"[^\W\d_]+", text.lower())).difference(*(text[a:b].lower().split() for a, b in fillers))
+    own, others = len(words & GERMAN_CONTEXT) + any(ch in word for word in words for ch in "äöüß"), len(words & OTHER_CONTEXT)
+    return own > others or (german and own == others and bool(words))
+
+
+def _filler_spans(text: str, found: dict, german: bool) -> Iterator[tuple[int, int]]:
+    fillers, words = found.get("filler", []), None
+    for start, end in fillers:
         if text[start:end].lower() in GERMAN_WORDS:
             if words is None:
-                words = re.findall(r"[^\W\d_]+", text.lower())
-            if len(GERMAN_CONTEXT.intersection(words)) >= 2:
+                words = _is_german(text, fillers, german)
+            if words:
                 continue
         yield start, end + (text[end : end + 1] == ",")
     for start, end in found.get("drawn", ()):
@@ -203,11 +227,14 @@ def _note_spans(text: str, found: dict) -> Iterator[tuple[int, int]]:
             yield around
     # brackets that hold nothing, and note signs around at most three words
     for empty in _EMPTY.finditer(text):
-        yield empty.span()
+        yield _bracketed(text, *empty.span()) or empty.span()
 
 
-def subtract(text: str, spans: Iterator[tuple[int, int]]) -> str:
+def subtract(text: str, spans: Sequence[tuple[int, int]]) -> str:
     """The text without the spans; a space takes the place of each."""
+    if len(spans) == 1:
+        start, end = spans[0]
+        return f"{text[:start]} {text[end:]}"
     taken = IntervalMap()
     for start, end in spans:
         if end > start:
@@ -220,20 +247,22 @@ def subtract(text: str, spans: Iterator[tuple[int, int]]) -> str:
     return " ".join(kept)
 
 
+_AFTER_SPACE = re.compile(r" [,;:.!?…\-–—]")
 _LOOSE = re.compile(r"(?:(?<=\s)|^)[,;:.…\-–—]+(?=\s|$)")
+_WORD = re.compile(r"\w+")
 _DOUBLED = re.compile(r"\s+([,;:.!?…])")
 
 
-@lru_cache(maxsize=20_000)
-def clean_utterance(text: str | None) -> tuple[int | None, str]:
+def clean_utterance(text: str | None, german: bool = False) -> tuple[int | None, str]:
     """(number of the speaker mark at the start, text without marks, notes and fillers).
 
-    The text is empty if nothing but these and punctuation was there.
+    The text is empty if nothing but these and punctuation was there. ``german``
+    says that the text is declared to be German.
     """
-    rest, speaker, changed = _SPACES.sub(" ", text or "").strip(), None, False
-    for _ in range(6):  # a note may hold a filler, a mark may follow a time
+    rest, speaker, changed = " ".join((text or "").split()), None, False
+    while True:  # a note may hold a filler, a mark may follow a time; every round shortens the text
         found = _findings(rest)
-        spans = [*_filler_spans(rest, found)] if "filler" in found or "drawn" in found else []
+        spans = [*_filler_spans(rest, found, german)] if "filler" in found or "drawn" in found else []
         if _BRACKET.search(rest):
             spans += _note_spans(rest, found)
         if ":" in rest:
@@ -243,11 +272,11 @@ def clean_utterance(text: str | None) -> tuple[int | None, str]:
             spans.append(mark[:2])
         if not spans:
             break
-        rest, changed = _SPACES.sub(" ", subtract(rest, iter(spans))).strip(), True
-    if not any(ch.isalnum() for ch in rest) or (changed and set(re.findall(r"\w+", rest.lower())) <= ONLY_BESIDE_FILLERS):
+        rest, changed = " ".join(subtract(rest, spans).split()), True
+    if not any(map(str.isalnum, rest)) or (changed and all(w[0].lower() in ONLY_BESIDE_FILLERS for w in _WORD.finditer(rest))):
         return speaker, ""
-    if changed:
-        rest = _DOUBLED.sub(r"\1", _SPACES.sub(" ", _LOOSE.sub(" ", rest)))
+    if changed and (_AFTER_SPACE.search(rest) or not rest[0].isalnum()):
+        rest = _DOUBLED.sub(r"\1", " ".join(_LOOSE.sub(" ", rest).split()))
     return speaker, rest.strip(" ,;-–—")
 
 
@@ -270,8 +299,8 @@ def clean_utterances(utterance: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             said, keep, names, texts = batch.column(5).to_pylist(), [], [], []
-            for i, (label, text) in enumerate(zip(batch.column(4).to_pylist(), said)):
-                marked, clean = clean_utterance(text)
+            for i, (label, text, german) in enumerate(zip(batch.column(4).to_pylist(), said, batch.column(6).to_pylist())):
+                marked, clean = clean_utterance(text, german)
                 if clean:
                     number = named_speaker(label)
                     number = marked if number is None else number
@@ -282,6 +311,8 @@ def clean_utterances(utterance: DataFrame) -> DataFrame:
             arrays = [kept.column(i).cast(arrow.field(i).type) for i in range(4)]
             yield pa.RecordBatch.from_arrays([*arrays, pa.array(names, pa.string()), pa.array(texts, pa.string())], schema=arrow)
 
+    # a declared language decides about words that are fillers in one language only
+    lang = F.coalesce(F.lower(F.trim("lang")).rlike(r"^(?:de|deu|ger|german|deutsch)\b"), F.lit(False)) if "lang" in utterance.columns else F.lit(False)
     rows = utterance.select(
         F.col("video_id").cast("string").alias("video_id"),
         F.col("utt_id").cast("bigint").alias("utt_id"),
@@ -289,6 +320,7 @@ def clean_utterances(utterance: DataFrame) -> DataFrame:
         to_ms(F.col("end_sec")).alias("end_ms"),
         F.col("speaker").cast("string").alias("speaker"),
         F.col("text").cast("string").alias("text"),
+        lang.alias("german"),
     ).where("start_ms is not null and text is not null")
     return rows.mapInArrow(run, CLEAN)
 
@@ -312,13 +344,14 @@ def speaker_turns(utterance: DataFrame, *, gap_ms: int = 300_000, texts: bool =
         spoken, ["video_id"], "start_ms", "utt_id", ["speaker"], lambda a, b: a == b,
         gap_ms=gap_ms, end_ms="end_ms" if texts else None, text="text" if texts else None, whole=True,
     )
+    ident = utterance.schema["utt_id"].dataType
     return runs.select(
         "video_id",
         F.col("run_speaker").alias("speaker"),
         F.col("first_ms").alias("start_ms"),
         "end_ms",
-        F.col("first_id").cast("int").alias("first_utt_id"),
-        F.col("last_id").cast("int").alias("last_utt_id"),
+        F.col("first_id").cast(ident).alias("first_utt_id"),
+        F.col("last_id").cast(ident).alias("last_utt_id"),
         F.col("run_count").alias("utterances"),
         "text",
     )

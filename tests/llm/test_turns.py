@@ -39,6 +39,15 @@ def test_speaker_column(label, n):
         ("wir treffen uns um drei und er ist da", None, "wir treffen uns um drei und er ist da"),
         ("we er go um home", None, "we go home"),
         ("the music is good", None, "the music is good"),
+        ("[[[[[[[[music]]]]]]]] hello", None, "hello"),
+        ("[um [er [uh [hm [euh [äh [eh ]]]]]]] hello", None, "hello"),
+        ("[(<[([music])]>)] hello", None, "hello"),
+        ("er ist hier", None, "er ist hier"),
+        ("er kommt morgen", None, "er kommt morgen"),
+        ("um zehn Uhr", None, "um zehn Uhr"),
+        ("er, the plan is old", None, "the plan is old"),
+        ("um, er", None, ""),
+        ("S１: hello", 1, "hello"),
         ("uh-huh… mm-hmm", None, ""),
         ("*music*, [BLANK_AUDIO] 00:01:02.500?", None, ""),
         ("SPK1: hmm", 1, ""),
@@ -103,3 +112,19 @@ def test_turn_times_and_empty_table(spark):
     assert speaker_turns(df.limit(0)).count() == 0
     clash = df.withColumnsRenamed({"kind": "_side"})
     assert speaker_turns(clash).count() == 2
+
+
+def test_declared_german():
+    assert clean_utterance("er lacht", True) == (None, "er lacht") and clean_utterance("er lacht") == (None, "lacht")
+    assert clean_utterance("um er", True) == (None, "") and clean_utterance("er the plan", True) == (None, "the plan")
+
+
+def test_deep_brackets_take_linear_time():
+    for inner in ("music", ""):
+        assert clean_utterance("[" * 100_000 + inner + "]" * 100_000 + " hello") == (None, "hello")
+
+
+def test_ids_above_an_int(spark):
+    df = spark.createDataFrame([("v", 2**40, 1.0, 2.0, "SPK1", "a", "en")], SCHEMA.replace("utt_id int", "utt_id long").replace("kind", "lang"))
+    got = speaker_turns(df).first()
+    assert (got.first_utt_id, got.last_utt_id) == (2**40, 2**40)
