@@ -15,6 +15,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,9 +28,13 @@ from cinetable.llm.turns import clean_utterance
 from cinetable.plans.columns import col, free_name, other_columns
 
 LANGUAGES = ("de", "en", "es", "fr")
-SAMPLE_TEXTS = 5_000  # labelled texts that train the network
-WINDOW, STRIDE = 64, 40  # bytes
-SHORT_WORDS, SHORT_CHARS = 4, 18  # less is a name or a technical term, no stretch of its own
+SAMPLE_TEXTS = 8_000  # labelled texts that train the network
+WINDOW, STRIDE = 64, 40  # places, one a byte
+BLOCK, MARGIN = 8, 4  # places that are pooled first; bytes that a filter at the last place looks beyond it
+SHORT_WORDS, SHORT_CHARS = 4, 18  # less is a name or a technical term, it makes no language
+SURE = 0.9  # a short part is a stretch of its own only if its language differs and has at least this share
+UNSURE = 0.4  # of a stretch in which no language has this share none is named
+NO_LANGUAGE = "und"
 KNOWN_STRETCHES = 100_000  # stretches a worker keeps
 MIN_CHARS = 40
 
@@ -52,68 +57,71 @@ def named_language(label):
 
 # --- the network ------------------------------------------------------------
 
+Gradients = dict[str, np.ndarray]
+
 
 class ByteCnn:
-    """Byte embedding, filters of several widths with ReLU and max pooling, softmax."""
+    """Byte embedding, filters of several widths with ReLU and max pooling, softmax.
+
+    A window is ``WINDOW`` places and the ``MARGIN`` bytes after them that a filter
+    at the last places looks at. All filters are one matrix; narrow ones have zero rows.
+    """
 
     WIDTHS, FILTERS, EMBEDDING = (2, 3, 4, 5), 24, 8
 
     def __init__(self, seed: int = 7) -> None:
         rng = np.random.default_rng(seed)
-
-        def start(*shape: int) -> np.ndarray:
-            return (rng.standard_normal(shape) * np.sqrt(2 / shape[0])).astype(np.float32)
-
-        self.parts: dict[str, np.ndarray] = {"e": (rng.standard_normal((256, self.EMBEDDING)) * 0.5).astype(np.float32)}
-        for w in self.WIDTHS:
-            self.parts[f"w{w}"] = start(w * self.EMBEDDING, self.FILTERS)
-            self.parts[f"b{w}"] = np.zeros(self.FILTERS, np.float32)
-        hidden = len(self.WIDTHS) * self.FILTERS
-        self.parts["out"] = start(hidden, len(LANGUAGES))
-        self.parts["bias"] = np.zeros(len(LANGUAGES), np.float32)
-
-    def _scores(self, windows: np.ndarray, width: int) -> np.ndarray:
-        """Filter scores without bias at every place: windows x places x filters."""
-        embedded = self.parts["e"][windows].reshape(len(windows), -1)
-        shape = (len(windows), windows.shape[1] - width + 1, width * self.EMBEDDING)
-        strides = (embedded.strides[0], embedded.strides[1] * self.EMBEDDING, embedded.strides[1])
-        columns = np.lib.stride_tricks.as_strided(embedded, shape, strides)
-        return (columns.reshape(-1, shape[2]) @ self.parts[f"w{width}"]).reshape(shape[0], shape[1], self.FILTERS)
-
-    def _pooled(self, windows: np.ndarray) -> tuple[np.ndarray, dict[int, np.ndarray]]:
-        """Pooled filters, and the places that they come from."""
-        pooled, where = [], {}
-        for w in self.WIDTHS:
-            scores = self._scores(windows, w)
-            where[w] = scores.argmax(axis=1)
-            pooled.append(np.take_along_axis(scores, where[w][:, None, :], 1)[:, 0] + self.parts[f"b{w}"])
-        return np.maximum(np.concatenate(pooled, axis=1), 0), where
+        hidden, rows = len(self.WIDTHS) * self.FILTERS, max(self.WIDTHS) * self.EMBEDDING
+        reach = np.repeat([w * self.EMBEDDING for w in self.WIDTHS], self.FILTERS)
+        self.used = (np.arange(rows)[:, None] < reach).astype(np.float32)
+        # (filter, place in it) of the rows that aren't zero
+        self.own = np.nonzero(self.used[:: self.EMBEDDING].T)
+        self.parts: dict[str, np.ndarray] = {
+            "e": rng.standard_normal((256, self.EMBEDDING)) * 0.5,
+            "filters": rng.standard_normal((rows, hidden)) * np.sqrt(2 / reach) * self.used,
+            "b": np.zeros(hidden),
+            "out": rng.standard_normal((hidden, len(LANGUAGES))) * np.sqrt(2 / hidden),
+            "bias": np.zeros(len(LANGUAGES)),
+        }
+        self.parts = {k: v.astype(np.float32) for k, v in self.parts.items()}
+
+    def _scores(self, data: np.ndarray, places: int) -> np.ndarray:
+        """Filter scores without bias at the first ``places`` of the bytes: places x filters."""
+        embedded = self.parts["e"][data[: places + MARGIN]].reshape(-1)
+        step = embedded.strides[0]
+        columns = np.lib.stride_tricks.as_strided(embedded, (places, len(self.used)), (step * self.EMBEDDING, step))
+        return np.ascontiguousarray(columns) @ self.parts["filters"]
+
+    def _log_softmax(self, pooled: np.ndarray) -> np.ndarray:
+        logits = np.maximum(pooled + self.parts["b"], 0) @ self.parts["out"] + self.parts["bias"]
+        logits -= logits.max(axis=1, keepdims=True)
+        return logits - np.log(np.exp(logits).sum(axis=1, keepdims=True))
 
     def log_probabilities(self, windows: np.ndarray) -> np.ndarray:
-        """All filters in one product: narrower ones have zero rows, and only the places that they fit in count."""
-        widest, size = max(self.WIDTHS), windows.shape[1]
-        filters = np.zeros((widest * self.EMBEDDING, len(self.WIDTHS) * self.FILTERS), np.float32)
-        bias = np.concatenate([self.parts[f"b{w}"] for w in self.WIDTHS])
-        for n, w in enumerate(self.WIDTHS):
-            filters[: w * self.EMBEDDING, n * self.FILTERS : (n + 1) * self.FILTERS] = self.parts[f"w{w}"]
-        out = np.empty((len(windows), len(LANGUAGES)), np.float32)
-        padded = np.zeros((16, size + widest - 1), np.uint8)
-        hidden = np.empty((16, len(bias)), np.float32)
-        for at in range(0, len(windows), 16):
-            part = windows[at : at + 16]
-            count = len(part)
-            padded[:count, :size] = part
-            embedded = self.parts["e"][padded[:count]].reshape(count, -1)
-            strides = (embedded.strides[0], embedded.strides[1] * self.EMBEDDING, embedded.strides[1])
-            columns = np.lib.stride_tricks.as_strided(embedded, (count, size, len(filters)), strides)
-            scores = (columns.reshape(-1, len(filters)) @ filters).reshape(count, size, -1)
-            for n, w in enumerate(self.WIDTHS):
-                own = slice(n * self.FILTERS, (n + 1) * self.FILTERS)
-                scores[:, : size - w + 1, own].max(axis=1, out=hidden[:count, own])
-            logits = np.maximum(hidden[:count] + bias, 0) @ self.parts["out"] + self.parts["bias"]
-            logits -= logits.max(axis=1, keepdims=True)
-            out[at : at + 16] = logits - np.log(np.exp(logits).sum(axis=1, keepdims=True))
-        return out
+        """Of windows with their margins; side by side with spaces between them they are one text."""
+        apart = np.full((len(windows) + 1, WINDOW + BLOCK), 32, np.uint8)
+        apart[:-1, : WINDOW + MARGIN] = windows
+        return self.log_probabilities_at(apart.reshape(-1)[: len(windows) * (WINDOW + BLOCK) + MARGIN], np.arange(len(windows)) * (WINDOW + BLOCK))
+
+    def log_probabilities_at(self, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Of the windows that begin at ``starts`` (multiples of ``BLOCK``) of ``data`` (whole blocks and ``MARGIN``).
+
+        Every place is scored once, also where windows overlap: the maxima of blocks are
+        joined to those of windows."""
+        blocks = (len(data) - MARGIN) // BLOCK
+        best = np.empty((blocks, len(self.parts["b"])), np.float32)
+        for at in range(0, blocks, 128):
+            some = min(128, blocks - at)
+            scores = self._scores(data[at * BLOCK :], some * BLOCK)
+            while len(scores) > some:
+                pairs = scores.reshape(len(scores) // 2, 2, -1)
+                scores = np.maximum(pairs[:, 0], pairs[:, 1])
+            best[at : at + some] = scores
+        width = 1
+        while width * BLOCK < WINDOW:
+            best = np.maximum(best[:-width], best[width:])
+            width *= 2
+        return self._log_softmax(best[starts // BLOCK])
 
     def fit(
         self, windows: np.ndarray, labels: np.ndarray, *, epochs: int = 4, rate: float = 3e-3, seed: int = 11, balanced: bool = False
@@ -130,27 +138,7 @@ class ByteCnn:
             order = rng.permutation(len(windows))
             for at in range(0, len(order), 64):
                 batch = order[at : at + 64]
-                x, y = windows[batch], labels[batch]
-                hidden, where = self._pooled(x)
-                logits = hidden @ self.parts["out"] + self.parts["bias"]
-                logits -= logits.max(axis=1, keepdims=True)
-                error = np.exp(logits)
-                error /= error.sum(axis=1, keepdims=True)
-                error -= 0.02 / len(LANGUAGES)
-                error[np.arange(len(y)), y] -= 0.98
-                error *= weights[y][:, None] / len(y)
-                gradients = {"out": hidden.T @ error, "bias": error.sum(axis=0)}
-                back = (error @ self.parts["out"].T) * (hidden > 0)
-                byte_gradient = np.zeros_like(self.parts["e"])
-                for n, w in enumerate(self.WIDTHS):
-                    own = back[:, n * self.FILTERS : (n + 1) * self.FILTERS]
-                    touched = x[np.arange(len(x))[:, None, None], where[w][:, :, None] + np.arange(w)]
-                    columns = self.parts["e"][touched].reshape(len(x), self.FILTERS, -1)
-                    gradients[f"w{w}"] = np.einsum("nf,nfk->kf", own, columns)
-                    gradients[f"b{w}"] = own.sum(axis=0)
-                    spread = own[:, :, None] * self.parts[f"w{w}"].T[None]
-                    np.add.at(byte_gradient, touched.reshape(-1), spread.reshape(-1, self.EMBEDDING))
-                gradients["e"] = byte_gradient
+                gradients = self._gradients(windows[batch], labels[batch], weights)
                 step += 1
                 for key, gradient in gradients.items():
                     first, second = moments[key]
@@ -159,58 +147,123 @@ class ByteCnn:
                     ahead = first / (1 - 0.9**step)
                     self.parts[key] -= (rate * ahead / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
 
+    def _gradients(self, x: np.ndarray, y: np.ndarray, weights: np.ndarray) -> Gradients:
+        count = len(x)
+        scores = self._scores(np.concatenate([x.reshape(-1), np.zeros(MARGIN, np.uint8)]), x.size).reshape(count, -1, len(self.parts["b"]))
+        scores = scores[:, :WINDOW]
+        where = scores.argmax(axis=1)
+        hidden = np.maximum(np.take_along_axis(scores, where[:, None, :], 1)[:, 0] + self.parts["b"], 0)
+        logits = hidden @ self.parts["out"] + self.parts["bias"]
+        logits -= logits.max(axis=1, keepdims=True)
+        error = np.exp(logits)
+        error /= error.sum(axis=1, keepdims=True)
+        error -= 0.02 / len(LANGUAGES)
+        error[np.arange(count), y] -= 0.98
+        error *= weights[y][:, None] / count
+        back = (error @ self.parts["out"].T) * (hidden > 0)
+        filters, places = self.own
+        touched = x[np.arange(count)[:, None], where[:, filters] + places].astype(np.intp)
+        error_of = np.ascontiguousarray(back[:, filters])
+        # one product a filter's place: windows x embedding against the filter's error in each window
+        rows = np.einsum("np,npk->pk", error_of, self.parts["e"].take(touched, axis=0))
+        gradient = np.zeros_like(self.parts["filters"])
+        by_place = gradient.reshape(-1, self.EMBEDDING, len(self.parts["b"]))
+        by_place[places, :, filters] = rows
+        own = self.parts["filters"].reshape(by_place.shape)[places, :, filters]
+        byte = touched.reshape(-1)
+        embedding = [np.bincount(byte, (error_of * own[:, k]).reshape(-1), 256) for k in range(self.EMBEDDING)]
+        return {
+            "e": np.stack(embedding, axis=1).astype(np.float32), "filters": gradient,
+            "b": back.sum(axis=0), "out": hidden.T @ error, "bias": error.sum(axis=0),
+        }
+
 
 # --- texts to stretches to windows -----------------------------------------
 
 _BREAK = re.compile(r"\n+|(?<=[.!?…。])[\"'”’»)]*\s+|\s+[/|·•–—-]+\s+")
+_SIGN = re.compile(r"[/|·•–—-]")
+_SENTENCE_END = re.compile(r"[.!?…。][\"'”’»)]*\s")
 _DIGIT = re.compile(r"\d+")
+_LATIN = re.compile(r"[A-Za-zªºÀ-ÖØ-öø-ɏ]")
+
+
+def _parts(text: str | None) -> list[tuple[str, bool]]:
+    """Sentences and separated phrases of a text without marks, notes and fillers, and whether each is
+    long enough to have a language of its own; shorter ones are names or technical terms."""
+    out = []
+    for line in (text or "").split("\n"):
+        line = clean_utterance(line)[1]
+        pieces = _BREAK.split(line) if _SIGN.search(line) or _SENTENCE_END.search(line) else (line,)
+        for piece in pieces:
+            if piece and any(map(str.isalpha, piece)):
+                piece = piece.strip(" /|·•–—-")
+                out.append((piece, len(piece) >= SHORT_CHARS and piece.count(" ") >= SHORT_WORDS - 1))
+    return out
+
+
+def _scored_parts(parts: list[tuple[str, bool]]) -> list[str]:
+    """The parts that tell a text's languages: the long ones, or all short ones together."""
+    return [p for p, long in parts if long] or ([" ".join(p for p, _ in parts)] if parts else [])
 
 
 def stretches(text: str | None) -> list[str]:
-    """The parts of a text that may have a language of their own: sentences and separated phrases
-    without marks, notes and fillers. Short ones (names, terms) are left out unless there is nothing else."""
-    lines = [clean_utterance(line)[1] for line in (text or "").split("\n")]
-    parts = [p.strip(" /|·•–—-") for line in lines for p in _BREAK.split(line) if p and any(ch.isalpha() for ch in p)]
-    long = [p for p in parts if len(p) >= SHORT_CHARS and len(p.split()) >= SHORT_WORDS]
-    return long or ([" ".join(parts)] if parts else [])
+    """The parts of a text that may have a language of their own."""
+    return _scored_parts(_parts(text))
 
 
 def without_accents(text: str) -> str:
     return "".join(ch for ch in unicodedata.normalize("NFD", text) if not unicodedata.combining(ch))
 
 
+def padded(stretch: str) -> bytes:
+    """The bytes of a stretch in lower case in whole blocks, at least a window, behind ``MARGIN`` spaces."""
+    data = b" " * MARGIN + _DIGIT.sub("0", stretch.lower()).encode("utf-8", "replace") + b" "
+    return data.ljust(max(WINDOW, -(-len(data) // BLOCK) * BLOCK))
+
+
+@lru_cache(maxsize=1_000)
+def window_starts(length: int) -> tuple[int, ...]:
+    """Where the windows of a padded stretch begin, the last one ending where it ends."""
+    return (*range(0, length - WINDOW, STRIDE), length - WINDOW)
+
+
 def windows_of(stretch: str) -> np.ndarray:
-    """Fixed-length windows over the bytes of a stretch in lower case, the last one ending where it ends."""
-    data = _DIGIT.sub("0", f" {stretch.lower()} ").encode("utf-8")
-    if len(data) <= WINDOW:
-        starts = [0]
-    else:
-        starts = [*range(0, len(data) - WINDOW, STRIDE), len(data) - WINDOW]
-    out = np.full((len(starts), WINDOW), 32, np.uint8)
-    for row, at in zip(out, starts):
-        part = data[at : at + WINDOW]
-        row[: len(part)] = np.frombuffer(part, np.uint8)
-    return out
+    """The windows of a stretch, each with its margin."""
+    data = padded(stretch)
+    whole = np.frombuffer(data + b" " * MARGIN, np.uint8)
+    return np.stack([whole[at : at + WINDOW + MARGIN] for at in window_starts(len(data))])
 
 
 def _stretch_scores(model: ByteCnn, texts: Sequence[str]) -> list[tuple[str, float]]:
-    """Language and confidence of each stretch: its windows' mean log-probabilities."""
+    """Language and confidence of each stretch: its windows' mean log-probabilities.
+
+    ``NO_LANGUAGE`` where most letters aren't Latin, or where no language has a share of ``UNSURE``."""
     if not texts:
         return []
-    pieces = [windows_of(t) for t in texts]
-    scores = model.log_probabilities(np.concatenate(pieces))
-    ends = np.cumsum([len(p) for p in pieces])
-    sums = np.add.reduceat(scores, np.concatenate([[0], ends[:-1]]), axis=0)
-    means = sums / np.diff(np.concatenate([[0], ends]))[:, None]
+    pieces = [padded(t) for t in texts]
+    starts, counts, at = [], [], 0
+    for piece in pieces:
+        own = window_starts(len(piece))
+        starts += [at + s for s in own]
+        counts.append(len(own))
+        at += len(piece)
+    data = np.frombuffer(b"".join(pieces) + b" " * MARGIN, np.uint8)
+    scores = model.log_probabilities_at(data, np.array(starts))
+    ends = np.cumsum(counts)
+    means = np.add.reduceat(scores, np.concatenate([[0], ends[:-1]]), axis=0) / np.array(counts)[:, None]
     likely = np.exp(means - means.max(axis=1, keepdims=True))
     likely /= likely.sum(axis=1, keepdims=True)
-    best = likely.argmax(axis=1)
-    return [(LANGUAGES[b], float(p)) for b, p in zip(best, likely[np.arange(len(best)), best])]
+    best, share = likely.argmax(axis=1), likely.max(axis=1)
+    out = []
+    for text, b, p in zip(texts, best.tolist(), share.tolist()):
+        foreign = p < UNSURE or not text.isascii() and 2 * len(_LATIN.findall(text)) < sum(map(str.isalpha, text))
+        out.append((NO_LANGUAGE if foreign else LANGUAGES[b], p))
+    return out
 
 
-def _epochs(windows: int, steps: int, least: int) -> int:
+def _epochs(windows: int, steps: int) -> int:
     """Passes that make at least ``steps`` batches, so that a small corpus is learned as well; at most 24."""
-    return max(least, min(24, -(-steps * 64 // max(1, windows))))
+    return min(24, -(-steps * 64 // max(1, windows)))
 
 
 def train(samples: Sequence[tuple[str, str]]) -> ByteCnn:
@@ -224,11 +277,11 @@ def train(samples: Sequence[tuple[str, str]]) -> ByteCnn:
     windows = np.concatenate(pieces)
     labels = np.repeat([y for _, y in parts], [len(p) for p in pieces])
     first = ByteCnn()
-    first.fit(windows, labels, epochs=_epochs(len(windows), 250, 2))
+    first.fit(windows, labels, epochs=_epochs(len(windows), 250))
     sound = first.log_probabilities(windows).argmax(axis=1) == labels
     model = ByteCnn()
     # balanced only now: before, a rare language's weight would raise that of wrong labels too
-    model.fit(windows[sound], labels[sound], epochs=_epochs(int(sound.sum()), 900, 5), balanced=True)
+    model.fit(windows[sound], labels[sound], epochs=_epochs(int(sound.sum()), 1_500), balanced=True)
     return model
 
 
@@ -239,16 +292,20 @@ def training_sample(df: DataFrame, text: str, label: str, *, size: int = SAMPLE_
     wrongly labelled rows of a frequent language would weigh more among the
     texts of a rare one. They are the texts of the lowest hashes.
     """
-    labelled = df.select(col(text).alias("text"), named_language(col(label)).alias("language")).where(
-        F.col("language").isNotNull() & (F.length("text") >= MIN_CHARS)
-    ).withColumn("place", F.xxhash64("text"))
-    texts = labelled.agg(F.approx_count_distinct("place")).first()[0]
-    if texts > 3 * size:
+    rows = df.count()
+    texts = df.select(col(text).alias("text"), col(label).alias("label"), F.xxhash64(col(text)).alias("place"))
+    share = 3 * size / max(1, rows)
+    while True:
         # the lowest hashes only, about three times as many as needed: else every task would send ``size`` rows
-        labelled = labelled.where(F.col("place") < F.lit(int(-(2**63) + 2**64 * 3 * size / texts)))
-    # copies of a text count once, they would only narrow the sample
-    chosen = labelled.distinct().orderBy("place", "text", "language").limit(size)
-    return [(r.text, r.language) for r in chosen.collect()]
+        some = texts.where(F.col("place") < F.lit(int(-(2**63) + 2**64 * share))) if share < 1 else texts
+        labelled = some.select("text", named_language(F.col("label")).alias("language"), "place").where(
+            F.col("language").isNotNull() & (F.length("text") >= MIN_CHARS)
+        )
+        # copies of a text count once, they would only narrow the sample
+        chosen = labelled.distinct().orderBy("place", "text", "language").limit(size).collect()
+        if len(chosen) == size or share >= 1:
+            return [(r.text, r.language) for r in chosen]
+        share *= 8  # few labels or many copies
 
 
 # --- the operator -----------------------------------------------------------
@@ -270,29 +327,66 @@ MADE = T.StructType(
 )
 
 
-def _joined(parts: list[tuple[str, str, float]]) -> list[dict]:
-    """Neighbours of one language as one stretch; its confidence is the mean by length."""
+Scored = tuple[str, float]
+
+
+def _own_stretch(text: str, scored: Scored, beside: str) -> bool:
+    """Whether a short part is clearly of another language than the stretch beside it: at least two words, ``SURE``."""
+    return scored[0] not in (NO_LANGUAGE, beside) and scored[1] >= SURE and " " in text
+
+
+def _stretches_of(parts: list[tuple[str, bool]], known: dict[str, Scored]) -> list[dict]:
+    """The whole text as single-language stretches: neighbours of one language are one, its confidence the
+    mean by length; a short part goes with the stretch before it (the first ones with that after them)
+    unless it is clearly of another language."""
     out: list[dict] = []
-    for text, language, confidence in parts:
-        if out and out[-1]["language"] == language:
-            a, b = len(out[-1]["text"]), len(text)
-            out[-1]["confidence"] = (out[-1]["confidence"] * a + confidence * b) / (a + b)
-            out[-1]["text"] += " " + text
+
+    def add(text: str, language: str | None, confidence: float, weight: int) -> None:
+        last = out[-1] if out else None
+        if last is None or language != last["language"]:
+            out.append({"text": text, "language": language, "confidence": confidence, "weight": weight})
+            return
+        last["text"] += " " + text
+        if total := last["weight"] + weight:
+            last["confidence"] = (last["confidence"] * last["weight"] + confidence * weight) / total
+            last["weight"] = total
+
+    if not any(long for _, long in parts):
+        whole = " ".join(p for p, _ in parts)
+        parts = [(whole, True)] if whole else []
+    held: list[str] = []
+    for text, long in parts:
+        language, confidence = known[text]
+        if long:
+            for early in held:
+                if _own_stretch(early, known[early], language):
+                    add(early, *known[early], len(early))
+                    held = held[held.index(early) + 1 :]
+            before, held = " ".join([*held, text]), []
+            add(before, language, confidence, len(text))
+        elif not out:
+            held.append(text)
+        elif _own_stretch(text, known[text], out[-1]["language"]):
+            add(text, language, confidence, len(text))
         else:
-            out.append({"text": text, "language": language, "confidence": confidence})
-    return out
+            add(text, out[-1]["language"], 0.0, 0)
+    return [{k: part[k] for k in ("text", "language", "confidence")} for part in out]
 
 
-def _described(parts: list[dict]) -> tuple:
-    if not parts:
-        return None, None, None, []
+def _described(found: list[tuple[int, str, float]]) -> tuple:
+    """language, confidence and languages from (length, language, confidence) of the long parts."""
+    if len(found) == 1:
+        _, main, sure = found[0]
+        return main, sure, None if main == NO_LANGUAGE else main
+    if not found:
+        return None, None, None
     weight: dict[str, int] = {}
-    for p in parts:
-        weight[p["language"]] = weight.get(p["language"], 0) + len(p["text"])
+    for length, language, _ in found:
+        weight[language] = weight.get(language, 0) + length
     main = max(weight, key=lambda k: (weight[k], k))
-    own = [p for p in parts if p["language"] == main]
-    sure = sum(p["confidence"] * len(p["text"]) for p in own) / sum(len(p["text"]) for p in own)
-    return main, sure, "+".join(sorted(weight)), parts
+    sure = sum(length * confidence for length, language, confidence in found if language == main) / weight[main]
+    weight.pop(NO_LANGUAGE, None)
+    return main, sure, "+".join(sorted(weight)) or None
 
 
 def detect_languages(df: DataFrame, text: str, model: ByteCnn, *, with_stretches: bool = True) -> DataFrame:
@@ -300,7 +394,11 @@ def detect_languages(df: DataFrame, text: str, model: ByteCnn, *, with_stretches
 
     ``language`` is that of most of the text, ``languages`` all of them in
     alphabetical order joined by ``+``, ``stretches`` the single-language parts
-    in order (text without marks and fillers, language, confidence).
+    in order (text without marks and fillers, language, confidence); they hold the
+    whole text. Parts of less than ``SHORT_WORDS`` words or ``SHORT_CHARS`` characters
+    (names, terms) are in a stretch but count in ``language`` and ``languages`` only
+    where there is nothing else. ``NO_LANGUAGE`` is the language of parts whose letters
+    aren't mostly Latin or that are like none of ``LANGUAGES``; it is never in ``languages``.
 
     Defined results: a null, empty or speechless text has null languages and no
     stretch; repeated rows stay repeated; an empty table stays empty; input
@@ -315,19 +413,22 @@ def detect_languages(df: DataFrame, text: str, model: ByteCnn, *, with_stretches
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         network, known = shared.value, {}
         for batch in batches:
-            split = [stretches(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
-            new = list(dict.fromkeys(s for parts in split for s in parts if s not in known))
+            split = [_parts(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
+            scored = [_scored_parts(parts) for parts in split]
+            asked = scored if not with_stretches else [[*some, *(p for p, _ in parts)] for some, parts in zip(scored, split)]
+            new = {s for some in asked for s in some if s not in known}
             if len(known) + len(new) > KNOWN_STRETCHES:
-                known = {}
-                new = list(dict.fromkeys(s for parts in split for s in parts))
-            for at in range(0, len(new), 2048):
-                part = new[at : at + 2048]
+                known.clear()
+                new = {s for some in asked for s in some}
+            new = sorted(new, key=len)
+            for at in range(0, len(new), 512):
+                part = new[at : at + 512]
                 known.update(zip(part, _stretch_scores(network, part)))
-            done = [_described(_joined([(s, *known[s]) for s in parts])) for parts in split]
-            if not with_stretches:
-                done = [(*facts, None) for *facts, _ in done]
+            done = [_described([(len(s), *known[s]) for s in some]) for some in scored]
+            found = [_stretches_of(parts, known) for parts in split] if with_stretches else [None] * len(done)
             arrays = [batch.column(i).cast(arrow.field(i).type) for i in range(len(kept))]
-            arrays += [pa.array(v, type=arrow.field(len(kept) + i).type) for i, v in enumerate(zip(*done) if done else [()] * 4)]
+            columns = [*zip(*done), found] if done else [()] * 4
+            arrays += [pa.array(v, type=arrow.field(len(kept) + i).type) for i, v in enumerate(columns)]
             yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
 
     return source.mapInArrow(run, schema)

@@ -28,10 +28,11 @@ def _spoken_and_shown(spark: SparkSession, folder: str) -> DataFrame:
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     """Records whose label is missing or wrong, or whose text mixes languages."""
-    # the query asks for texts of at least this length only
-    texts = _spoken_and_shown(spark, folder).where(F.length("text") >= MIN_CHARS)
+    texts = _spoken_and_shown(spark, folder)
     model = train(training_sample(texts, "text", "label"))
-    found = mislabelled(detect_languages(texts, "text", model, with_stretches=False), "text", "label")
+    # the query asks for texts of at least this length only
+    asked = texts.where(F.length("text") >= MIN_CHARS)
+    found = mislabelled(detect_languages(asked, "text", model, with_stretches=False), "text", "label")
     return found.select("src", "video_id", "rec_id", F.col("languages").alias("langs")).distinct()
 
 

@@ -99,3 +99,37 @@ def test_whole_texts_train(spark, monkeypatch):
     monkeypatch.setattr(L, "windows_of", lambda s, windows=L.windows_of: seen.append(s) or windows(s))
     L.train([(text, "en")])
     assert seen == L.stretches(text) and len(seen) == 9
+
+
+def test_joined_windows_equal_single_ones(model):
+    import numpy as np
+
+    texts = [sentence(random.Random(i), L.LANGUAGES[i % 4], 4 + 5 * i) for i in range(9)] + ["a b c d", "é" * 200]
+    alone = [model.log_probabilities(L.windows_of(t)).mean(axis=0) for t in texts]
+    for (language, share), scores in zip(L._stretch_scores(model, texts), alone):
+        assert share == pytest.approx(float(np.exp(scores.max()) / np.exp(scores).sum()), rel=1e-4)
+
+
+def test_the_whole_text_is_in_a_stretch(spark, model):
+    rng = random.Random(8)
+    en, de = (sentence(rng, x) for x in ("en", "de"))
+    texts = [f"Aster. {en} Ok, Room 5. {de}", "Aster. Room 5.", f"{en} und ein Fahrrad ohne Licht. {en}"]
+    found = L.detect_languages(spark.createDataFrame(list(enumerate(texts)), "id int, t string"), "t", model)
+    for r in found.collect():
+        assert " ".join(p.text for p in r.stretches).split() == texts[r.id].split()
+    assert {r.id: r.languages for r in found.collect()}[0] == "de+en"
+
+
+def test_a_short_part_of_another_language():
+    known = {"Bonjour à tous.": ("fr", 0.99), "It is here now, all of it.": ("en", 0.98), "Aster.": ("de", 0.99), "Maybe so.": ("fr", 0.6)}
+    parts = [("Bonjour à tous.", False), ("It is here now, all of it.", True), ("Aster.", False), ("Maybe so.", False), ("Bonjour à tous.", False)]
+    got = [(p["language"], p["text"]) for p in L._stretches_of(parts, known)]
+    assert got == [("fr", "Bonjour à tous."), ("en", "It is here now, all of it. Aster. Maybe so."), ("fr", "Bonjour à tous.")]
+
+
+def test_texts_of_no_known_language(spark, model):
+    texts = ["Это предложение написано по-русски, без ошибок.", "これは日本語の文です。とても短いです。", "7777 !!"]
+    df = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "id int, t string, l string")
+    found = L.detect_languages(df, "t", model)
+    assert [(r.language, r.languages) for r in found.orderBy("id").collect()] == [("und", None), ("und", None), (None, None)]
+    assert L.mislabelled(found, "t", "l").count() == 0
