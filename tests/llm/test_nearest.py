@@ -2,6 +2,7 @@ import random
 
 import pytest
 
+from cinetable.llm import nearest
 from cinetable.llm.nearest import events_near_speech, media_key, nearest_interval
 
 EVENTS = "event int, entity string, at_ms long, s int"
@@ -23,8 +24,10 @@ def brute(events, intervals, within):
     return sorted(out)
 
 
-@pytest.mark.parametrize(("seed", "tick", "long"), [(0, 2500, 0), (1, 7, 0), (2, 10, 5000), (3, 1, 300), (4, 100_000, 0), (5, 3, 40_000)])
-def test_equals_brute_force(spark, seed, tick, long):
+@pytest.mark.parametrize("dense", [512, 3])
+@pytest.mark.parametrize(("seed", "tick", "long"), [(0, 2500, 0), (1, 7, 0), (2, 10, 5000), (3, 1, 300), (4, 100_000, 0), (5, 3, 40_000), (6, 4096, 9)])
+def test_equals_brute_force(spark, monkeypatch, seed, tick, long, dense):
+    monkeypatch.setattr(nearest, "DENSE", dense)
     rng = random.Random(seed)
     intervals = []
     for i in range(120):
@@ -59,3 +62,24 @@ def test_spellings_of_video_ids(spark):
     got = sorted(map(tuple, events_near_speech(ocr, utt).collect()))
     assert got == [(i, "lobby_000000", 4, 1000) for i in range(5)]
     assert events_near_speech(ocr.limit(0), utt).count() == 0 and events_near_speech(ocr, utt.limit(0)).count() == 0
+
+
+def test_a_dense_tick(spark):
+    """100,000 intervals of one entity in one tick, as many moments as it has: candidates stay few."""
+    import bisect
+
+    rng = random.Random(11)
+    data = [("v", "V", s := rng.randrange(4096, 8190), min(8191, s + rng.randrange(1, 900)), i, 0) for i in range(100_000)]
+    moments = range(4096, 8192, 3)
+    events = [(t, "v", t, 0) for t in moments]
+    got = {r.event: (r.interval, r.distance_ms) for r in nearest_interval(spark.createDataFrame(events, EVENTS), spark.createDataFrame(data, INTERVALS)).collect()}
+    data.sort(key=lambda d: (d[2], -d[4]))
+    starts = [d[2] for d in data]
+    for t in moments:
+        best = None
+        for d in reversed(data[: bisect.bisect_right(starts, t)]):
+            if d[3] >= t:
+                best = (d[4], 0)
+                break
+        assert best is None or got[t] == best
+    assert len(got) == len(moments)
