@@ -60,14 +60,17 @@ def read_chunks_jsonl(spark: SparkSession, path: str) -> DataFrame:
 def read_raw_records(spark: SparkSession, *paths: str, header: bool = True) -> DataFrame:
     """path, record_no and raw of the records of CSV files; a line end inside quotes doesn't end a record.
 
-    A file is assembled by one task; files are spread over tasks."""
+    A file is assembled by one task in linear time; files are spread over tasks. A record whose quote never
+    closes ends with its line. With ``header`` the first record tells how many fields a record over several lines has."""
     files = spark.read.text(list(paths), wholetext=True).select(F.input_file_name().alias("path"), F.col("value"))
     schema = "path string, record_no bigint, raw string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                records = [r.rstrip("\r\n") for r in assemble_lines(iter(csv_lines(text)))][int(header) :]
+                lines = csv_lines(text)
+                fields = lines[0].count(",") + 1 if header and lines else None
+                records = [r.rstrip("\r\n") for r in assemble_lines(lines, fields)][int(header) :]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([path] * len(records), pa.string()), pa.array(range(len(records)), pa.int64()), pa.array(records, pa.string())],
                     names=["path", "record_no", "raw"],

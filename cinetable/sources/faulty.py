@@ -15,7 +15,7 @@ import csv
 import json
 import re
 import sys
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -185,34 +185,61 @@ def parse_records(df: DataFrame, kind: str, raw: str = "raw", keep: Sequence[str
     return source.mapInArrow(run, schema)
 
 
-def assemble_lines(lines: Iterator[str]) -> Iterator[str]:
+_QUOTED = re.compile(r'[^"]*(?:""[^"]*)*')
+
+
+def _follow(line: str, quoted: bool) -> tuple[bool | None, int]:
+    """(whether a quote is open at the end of a line, None if a quoted field goes on after its closing quote; commas between fields)."""
+    at, commas = 0, 0
+    while True:
+        if quoted:
+            at = _QUOTED.match(line, at).end()
+            if at == len(line):
+                return True, commas
+            at += 1
+            if at == len(line) or line[at] in "\r\n":
+                return False, commas
+            if line[at] != ",":
+                return None, commas
+        else:
+            at = line.find(",", at)
+            if at < 0:
+                return False, commas
+        at, commas = at + 1, commas + 1
+        quoted = line.startswith('"', at)
+        at += quoted
+
+
+def assemble_lines(lines: Iterable[str], fields: int | None = None) -> Iterator[str]:
     """Physical lines of a CSV file to records: a line end inside quotes goes on.
 
     Quote-aware: a field is quoted only if it begins with the quote. A record
-    that never closes its quote is handed over whole when the input ends.
+    goes over several lines only if its quotes close properly and it has
+    ``fields`` fields (if given). Otherwise, in particular where a quote never closes,
+    its first line is a record of its own and reading goes on behind it, so a faulty
+    record takes no sound one with it. Every line is followed at most twice.
     """
-    held = ""
-    for line in lines:
-        held += line
-        if not _open_quote(held):
-            yield held
-            held = ""
-    if held:
-        yield held
-
-
-def _open_quote(text: str) -> bool:
-    quoted, at_start, i = False, True, 0
-    while i < len(text):
-        ch = text[i]
-        if quoted:
-            if ch == '"':
-                if text[i + 1 : i + 2] == '"':
-                    i += 1
-                else:
-                    quoted = False
-        elif ch == '"' and at_start:
-            quoted = True
-        at_start = not quoted and ch == ","
-        i += 1
-    return quoted
+    lines = list(lines)
+    at = 0
+    # of lines reached with an open quote: (commas up to its end, line after it), None if it never closes
+    known: dict[int, tuple[int, int] | None] = {}
+    while at < len(lines):
+        line = lines[at]
+        state, commas = _follow("," + line, False)
+        end, stop, path = None, at + 1, []
+        while state:
+            if stop in known or stop == len(lines):
+                end = known.get(stop)
+                break
+            path.append((stop, commas))
+            state, more = _follow(lines[stop], True)
+            commas, stop = commas + more, stop + 1
+            if state is False:
+                end = (0, stop)
+        known.update((place, None if end is None else (end[0] + commas - before, end[1])) for place, before in path)
+        if end is not None and fields in (None, commas + end[0]):
+            yield "".join(lines[at : end[1]])
+            at = end[1]
+        else:
+            yield line
+            at += 1

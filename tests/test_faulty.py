@@ -120,3 +120,34 @@ def test_records_of_a_file(spark, tmp_path):
 )
 def test_long_cue_numbers(line, want):
     assert parse_cue(f"{line}\n{TIMES}\na")[0] == want
+
+
+def test_an_open_quote_costs_one_record(spark, tmp_path):
+    rows = [f"{n},dog,0.5,1,2,3,4,{{}}" for n in range(40)]
+    rows[3] = '3,"dog,0.5,1,2,3,4,{}'
+    rows[9] = '9,dog,0.5,1,2,3,4,"{""text"": ""a'
+    rows[20] = '20,"two\nlines",0.5,1,2,3,4,"{""a"":\n1}"'
+    rows[30] = '30,cat,0.5,1,2,3,4,"'
+    path = tmp_path / "d.csv"
+    path.write_text("frame_ts,label,conf,x1,y1,x2,y2,extra\n" + "\n".join(rows))
+    got = read_detections_with_faults(spark, str(path)).collect()
+    assert sorted(r.frame_ts for r in got if r.reason is None) == [n for n in range(40) if n not in (3, 9, 30)]
+    assert [r.reason for r in got if r.reason] == ["quoting"] * 3
+
+
+def test_records_of_another_width_are_given_up():
+    lines = ['a,"b\n', "c,d\n", 'e"\n', "f,g\n"]
+    assert list(assemble_lines(lines, 2)) == ['a,"b\nc,d\ne"\n', "f,g\n"]
+    assert list(assemble_lines(lines, 3)) == lines
+    assert list(assemble_lines([])) == [] and list(assemble_lines(['"'])) == ['"']
+
+
+@pytest.mark.parametrize("line", ['1,dog,0.5,1,2,3,4,{}\n', 'x","\n', '1,"dog,0.5,1\n', '"""x\n', '""\n', '"a\n"'])
+def test_assembly_takes_linear_time(line):
+    import time
+
+    lines = ['0,"never closed\n'] + [line] * 100_000
+    for fields in (None, 8):
+        began = time.perf_counter()
+        assert sum(map(len, assemble_lines(lines, fields))) == sum(map(len, lines))
+        assert time.perf_counter() - began < 2
