@@ -51,38 +51,35 @@ class IntervalMap:
             before = end
 
 
-def _order(key: tuple) -> tuple:
-    return tuple((value is not None, value) if value is not None else (False, 0) for value in key)
-
-
 def _merge_partition(schema: pa.Schema, width: int):
+    """Entities in order, starts in order within them: an insertion is at the end of the map, and an
+    entity is put out as soon as the next begins."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state: dict[tuple, IntervalMap] = {}
-        for batch in batches:
-            columns = [column.to_pylist() for column in batch.columns]
-            for row in zip(*columns):
-                key = row[:width]
-                entry = state.get(key)
-                if entry is None:
-                    entry = state[key] = IntervalMap()
-                entry.insert(row[width], row[width + 1])
-        if not state:
-            return
         chunk = TaskContext.get().partitionId()
-        first, last = min(state, key=_order), max(state, key=_order)
         out: list[tuple] = []
+        key, entry, began = None, IntervalMap(), 0
+
+        def close(side: int | None) -> Iterator[pa.RecordBatch]:
+            for start, end, before in entry.periods():
+                out.append((*key, chunk, side, start, end, before))
+                if len(out) >= 20_000:
+                    yield flush()
 
         def flush() -> pa.RecordBatch:
             arrays = [pa.array(values, type=field.type) for values, field in zip(zip(*out), schema)]
             out.clear()
             return pa.RecordBatch.from_arrays(arrays, schema=schema)
 
-        for key, entry in state.items():
-            side = 0 if key == first else 1 if key == last else None
-            for start, end, before in entry.periods():
-                out.append((*key, chunk, side, start, end, before))
-                if len(out) >= 20_000:
-                    yield flush()
+        for batch in batches:
+            for row in zip(*(column.to_pylist() for column in batch.columns)):
+                if row[:width] != key:
+                    if began:
+                        yield from close(0 if began == 1 else None)
+                    key, entry, began = row[:width], IntervalMap(), began + 1
+                entry.insert(row[width], row[width + 1])
+        if began:
+            yield from close(0 if began == 1 else 1)
         if out:
             yield flush()
 
@@ -124,7 +121,7 @@ def continuous_periods(
     )
     arrow = to_arrow_schema(schema)
     pieces = materialise(
-        rows.repartitionByRange(*names, "_s").mapInArrow(_merge_partition(arrow, len(keys)), schema)
+        rows.repartitionByRange(*names, "_s").sortWithinPartitions(*names, "_s").mapInArrow(_merge_partition(arrow, len(keys)), schema)
     )
 
     # summaries of the at most two entities of a chunk that neighbours may share
