@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cinetable.plans.columns import col
 
@@ -18,50 +22,41 @@ def json_field(text: Column, path: str) -> Column:
     return F.try_variant_get(safe_json(text), path, "string")
 
 
-def json_paths(df: DataFrame, text: str) -> list[str]:
-    """All dotted paths to values that are no objects, sorted. Aggregated on the executors; the
-    result has one row per distinct path."""
+Path = str | tuple[str, ...]
+
+
+def json_paths(df: DataFrame, text: str) -> list[tuple[str, ...]]:
+    """The keys on the way to every value that is no object, sorted. Aggregated on the executors; the
+    result has one row per distinct path. Runs one job."""
     objects = df.select(safe_json(F.when(col(text).rlike(r"^\s*\{"), col(text))).alias("_v")).where("_v is not null")
     found = objects.agg(F.schema_of_variant_agg("_v")).first()[0]
     return sorted(_paths(found or "VOID"))
 
 
-def _paths(schema: str, prefix: str = "") -> list[str]:
-    """Paths of a variant's schema text ``OBJECT<a: BIGINT, b: OBJECT<c: STRING>>``."""
-    if not schema.startswith("OBJECT<"):
-        return [prefix] if prefix else []
-    body, depth, start, out = schema[len("OBJECT<") : -1], 0, 0, []
-    parts = []
-    quoted = False
-    for i, ch in enumerate(body + ","):
-        if ch == "`":
-            quoted = not quoted
-        if quoted:
-            continue
-        if ch == "<":
-            depth += 1
-        elif ch == ">":
-            depth -= 1
-        elif ch == "," and depth == 0:
-            parts.append(body[start:i].strip())
-            start = i + 1
-    for part in filter(None, parts):
-        if part.startswith("`"):
-            name, _, kind = part[1:].partition("`: ")
-        else:
-            name, _, kind = part.partition(": ")
-        out += _paths(kind, f"{prefix}.{name}" if prefix else name)
-    return out
-
-
-def flatten_json(df: DataFrame, text: str, *, prefix: str = "extra", paths: list[str] | None = None) -> DataFrame:
+_OBJECT = re.compile(r"`(?:[^`]|``)*`|OBJECT(?=<)")
+
+
+def _paths(schema: str) -> list[tuple[str, ...]]:
+    """Paths of a variant's schema text, which is a type text but for the name of objects."""
+
+    def below(kind: T.DataType, path: tuple[str, ...]) -> list[tuple[str, ...]]:
+        if not isinstance(kind, T.StructType):
+            return [path] if path else []
+        return [found for field in kind for found in below(field.dataType, (*path, field.name))]
+
+    return below(T.DataType.fromDDL(_OBJECT.sub(lambda m: "STRUCT" if m[0] == "OBJECT" else m[0], schema)), ())
+
+
+def flatten_json(df: DataFrame, text: str, *, prefix: str = "extra", paths: Sequence[Path] | None = None) -> DataFrame:
     """``df`` with a string column ``prefix.path`` for every path of the objects in ``text``.
 
-    ``paths`` saves the discovery pass. Text that is no object gives nulls."""
+    ``paths`` (keys, or keys joined by dots) saves the discovery pass, a job that runs while the plan is
+    built. Text that is no object gives nulls."""
     parsed = df.withColumn("_variant", safe_json(col(text)))
     for path in paths if paths is not None else json_paths(df, text):
-        steps = "$" + "".join(f"['{step}']" for step in path.split("."))
-        parsed = parsed.withColumn(f"{prefix}.{path}", F.try_variant_get("_variant", steps, "string"))
+        keys = path.split(".") if isinstance(path, str) else path
+        steps = "$" + "".join("['" + key.replace("\\", "\\\\").replace("'", "\\'") + "']" for key in keys)
+        parsed = parsed.withColumn(f"{prefix}.{'.'.join(keys)}", F.try_variant_get("_variant", steps, "string"))
     return parsed.drop("_variant")
 
 

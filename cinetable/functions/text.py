@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -20,27 +21,56 @@ STOP_WORDS = (
     "euh bah hein voilà genre ben ouais ouai oui non"
 ).split()
 
-def _decomposing() -> tuple[str, str]:
-    """Letters of the Latin blocks that are one ASCII letter with marks, and that letter."""
-    pairs = []
-    for code in range(0xC0, 0x250):
-        plain = "".join(c for c in unicodedata.normalize("NFKD", chr(code)) if not unicodedata.combining(c))
-        if len(plain) == 1 and plain != chr(code) and plain.isascii():
-            pairs.append((chr(code), plain))
-    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+@cache
+def decompositions() -> tuple[str, str, dict[str, str]]:
+    """Characters whose compatibility decomposition without combining marks is one other character, these, and
+    classes of characters that decompose to several with an ASCII letter or digit among them. Hangul syllables, which decompose by rule to no Latin letter, stay."""
+    single, several = [], {}
+    for code in range(0x80, 0x20000):
+        ch = chr(code)
+        if 0xAC00 <= code < 0xD7A4 or 0xD800 <= code < 0xE000:
+            continue
+        plain = "".join(c for c in unicodedata.normalize("NFKD", ch) if not unicodedata.combining(c))
+        if len(plain) == 1 and plain != ch:
+            single.append((ch, plain))
+        elif any(c.isascii() and c.isalnum() for c in plain):
+            several[plain] = several.get(plain, "") + ch
+    return "".join(a for a, _ in single), "".join(b for _, b in single), several
 
 
-ACCENTED, PLAIN = _decomposing()
+def strip_accents(text: Column) -> Column:
+    """Compatibility decomposition without combining marks, inside the JVM.
 
+    A character that decomposes to one other is translated; of those that decompose to several (``ﬁ``, ``½``, ``㎏``)
+    the ones with ASCII letters or digits in them are replaced, by a loop over them where a text holds any."""
+    accented, letters, several = decompositions()
+    pairs = F.split(F.lit("\n".join(f"[{chars}]\t{plain}" for plain, chars in several.items())), "\n")
+    longer = F.aggregate(pairs, text, lambda out, pair: F.regexp_replace(out, F.substring_index(pair, "\t", 1), F.substring_index(pair, "\t", -1)))
+    plain = F.when(text.rlike(_blocks("".join(several.values()))), longer).otherwise(text)
+    return F.when(F.octet_length(text) == F.length(text), text).otherwise(F.regexp_replace(F.translate(plain, accented, letters), r"\p{M}+", ""))
+
+
+def _blocks(chars: str) -> str:
+    """A class of few ranges that holds the characters, and others in small spaces between them."""
+    ranges: list[list[int]] = []
+    for code in sorted(map(ord, chars)):
+        if ranges and code - ranges[-1][1] <= 64:
+            ranges[-1][1] = code
+        else:
+            ranges.append([code, code])
+    return "[" + "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in ranges) + "]"
 
-def strip_accents(text: Column) -> Column:
-    """Accents of Latin letters and combining marks taken off inside the JVM; other characters stay."""
-    return F.regexp_replace(F.translate(text, ACCENTED, PLAIN), r"\p{M}+", "")
+
+def plain_text(text: str) -> str:
+    """``strip_accents`` of one text on the driver."""
+    accented, letters, several = decompositions()
+    table = str.maketrans(accented, letters) | {ord(ch): plain for plain, chars in several.items() for ch in chars}
+    return "".join(ch for ch in text.translate(table) if not unicodedata.category(ch).startswith("M"))
 
 
 @F.pandas_udf(T.StringType())
 def strip_accents_full(texts: pd.Series) -> pd.Series:
-    """Compatibility decomposition without combining marks, for every script."""
+    """The same in Python, for every character."""
     return texts.map(
         lambda t: None if t is None else "".join(ch for ch in unicodedata.normalize("NFKD", t) if not unicodedata.combining(ch))
     )
@@ -113,14 +143,17 @@ def safe_stem(name: Column) -> Column:
     return F.when(F.coalesce(clean, F.lit("")) == "", "video").otherwise(clean)
 
 
+#: The name ends on the first line; what is said may go on over line ends.
+_PREFIX = r"^\[([^\n]*?)\]\s*((?s:.*))$"
+
+
 def speaker_of_line(line: Column) -> Column:
-    """The name in a leading ``[name]``, default ``UNK``."""
-    named = line.rlike(r"^\[(.*?)\]\s*(.*)$")
-    return F.when(named, F.regexp_extract(line, r"^\[(.*?)\]\s*(.*)$", 1)).otherwise("UNK")
+    """The name in a leading ``[name]``, default ``UNK`` (X13). Line ends may follow the name."""
+    return F.when(line.rlike(_PREFIX), F.regexp_extract(line, _PREFIX, 1)).otherwise("UNK")
 
 
 def line_without_speaker(line: Column) -> Column:
-    return F.when(line.rlike(r"^\[(.*?)\]\s*(.*)$"), F.regexp_extract(line, r"^\[(.*?)\]\s*(.*)$", 2)).otherwise(line)
+    return F.when(line.rlike(_PREFIX), F.regexp_extract(line, _PREFIX, 2)).otherwise(line)
 
 
 def ellipsis(text: Column, longer_than: int, keep: int, *, trim_end: bool = False) -> Column:

@@ -62,27 +62,21 @@ def ocr_rows(detections: DataFrame, *, min_conf: float = 0.85) -> DataFrame:
 
 
 def word_index(rows: DataFrame, keys: list[str], at: str, ident: str, text: str = "text") -> DataFrame:
-    """Inverted index (G4): keys, word, timestamps, first_id, occurrences.
+    """Inverted index (G4): keys, word, timestamps, occurrences (ts, ident, bbox, conf), count.
 
-    One row per word with its times in order (ties by ``ident``). A frequent
+    One row per word with its times in order (ties by ``ident``); ``rows`` has bbox and conf. A frequent
     word's list is bounded by its video through ``keys``."""
-    words = rows.select(
-        *(col(k) for k in keys), col(at).alias("_at"), col(ident).alias("_id"), F.explode(F.split(col(text), r"\s+")).alias("word")
-    ).where("word != ''")
+    word = F.explode(F.split(col(text), r"\s+")).alias("word")
+    words = rows.select(*(col(k) for k in keys), word, col(at).alias("ts"), col(ident).alias("ident"), "bbox", "conf").where("word != ''")
+    every = F.array_sort(F.collect_list(F.struct("ts", "ident", "bbox", "conf")))
     return (
         words.groupBy(*keys, "word")
-        .agg(F.array_sort(F.collect_list(F.struct("_at", "_id"))).alias("_all"))
-        .select(
-            *keys,
-            "word",
-            F.transform("_all", lambda x: x["_at"]).alias("timestamps"),
-            F.transform("_all", lambda x: x["_id"]).alias("ids"),
-            F.size("_all").cast("bigint").alias("occurrences"),
-        )
+        .agg(every.alias("occurrences"))
+        .select(*keys, "word", F.transform("occurrences", lambda x: x["ts"]).alias("timestamps"), "occurrences", F.size("occurrences").cast("bigint").alias("count"))
     )
 
 
 def word_postings(rows: DataFrame, keys: list[str], at: str, ident: str, text: str = "text") -> DataFrame:
-    """The same index as rows, for words that may be very frequent: keys, word, at, ident, conf if there."""
-    kept = [*keys, at, ident]
+    """The same index as rows, for words that may be very frequent: keys, at, ident, bbox, conf, word."""
+    kept = [*keys, at, ident, "bbox", "conf"]
     return rows.select(*(col(k) for k in kept), F.explode(F.split(col(text), r"\s+")).alias("word")).where("word != ''")

@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cinetable.functions.text import strip_accents
+from cinetable.functions.text import plain_text, strip_accents
 from cinetable.plans.columns import col
 
 
@@ -23,9 +23,7 @@ def terms(text: Column) -> Column:
 
 
 def _plain_terms(query: str) -> list[str]:
-    from cinetable.functions.text import ACCENTED, PLAIN
-
-    return re.findall(r"[^\W_]+", query.lower().translate(str.maketrans(ACCENTED, PLAIN)))
+    return re.findall(r"[^\W_]+", plain_text(query.lower()))
 
 
 def match(text: Column, query: str) -> Column:

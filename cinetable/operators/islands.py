@@ -78,57 +78,133 @@ def with_islands(df: DataFrame, keys: Sequence[str], time_ms: str, ident: str, *
     )
 
 
-SEGMENT = T.StructType(
-    [
-        T.StructField("video_id", T.StringType()),
-        T.StructField("text", T.StringType()),
-        T.StructField("start_sec", T.DoubleType()),
-        T.StructField("end_sec", T.DoubleType()),
-        T.StructField("avg_conf", T.DoubleType()),
-        T.StructField("frames", T.LongType()),
-    ]
-)
+_TEXT, _WHOLE, _REAL = T.StringType(), T.LongType(), T.DoubleType()
+_BOXES = T.ArrayType(T.ArrayType(_REAL))
 
 
-def text_segments(rows: DataFrame, *, similarity: float = 90.0, gap_ms: int = 1_000) -> DataFrame:
-    """Segments of one screen text (W3, G8): video_id, text, start_sec, end_sec, avg_conf, frames.
+def _schema(*fields: tuple[str, T.DataType]) -> T.StructType:
+    return T.StructType([T.StructField(name, kind) for name, kind in fields])
 
-    ``rows``: video_id, det_id, frame_ts, text, conf. In order of time, a row
-    extends the open segment if it is at most ``gap_ms`` after its last row and
-    its words are similar enough to the segment's *first* text; otherwise it
-    opens the next one. That is sequential, but never across a longer gap, so
-    islands are processed apart, each as a sorted stream with one open segment.
-    """
-    timed = rows.select(
-        "video_id", "det_id", F.round(F.col("frame_ts") * 1000).cast("bigint").alias("ms"), "frame_ts", "text", "conf"
-    )
-    islands = with_islands(timed, ["video_id"], "ms", "det_id", gap_ms=gap_ms)
-    order = ["video_id", "island", "ms", "det_id"]
-    arrow = to_arrow_schema(SEGMENT)
+
+#: A part of a segment inside one chunk; parts of one segment share ``_from`` (the chunk and row of its first reading).
+PART = _schema(
+    ("_from", _WHOLE), ("_edge", T.BooleanType()), ("video_id", _TEXT), ("text", _TEXT), ("start_sec", _REAL), ("end_sec", _REAL),
+    ("_ms", _WHOLE), ("_sum", _REAL), ("frames", _WHOLE), ("bboxes", _BOXES), ("_chunk", T.IntegerType()), ("_last", T.BooleanType()),
+)
+
+
+class _Open:
+    """The open segment: where it began, its video and first text, when it was read last."""
+
+    __slots__ = ("began", "video", "text", "ms")
+
+    def __init__(self, began: int, video: str | None, text: str, ms: int) -> None:
+        self.began, self.video, self.text, self.ms = began, video, text, ms
+
+    def __eq__(self, other: object) -> bool:
+        return isinstance(other, _Open) and (self.began, self.video, self.text, self.ms) == (other.began, other.video, other.text, other.ms)
+
+
+def _encode_segments(entering: dict[int, _Open], similarity: float, gap_ms: int, ends_only: bool):
+    """One pass over a sorted chunk that continues the segment left open before it."""
+    arrow = to_arrow_schema(PART)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, out = None, []
+        chunk = TaskContext.get().partitionId()
+        now, part, first = entering.get(chunk), None, True
+        row, out = chunk * _SHIFT, []
+
+        def close(last: bool) -> None:
+            nonlocal first
+            if not ends_only or last:
+                out.append((now.began, first or last, now.video, now.text, *part[:2], now.ms, *part[2:], chunk, last))
+            first = False
+
+        def flush() -> pa.RecordBatch:
+            arrays = [pa.array(values, type=field.type) for values, field in zip(zip(*out), arrow)]
+            out.clear()
+            return pa.RecordBatch.from_arrays(arrays, schema=arrow)
+
         for batch in batches:
-            for video, island, ms, ts, text, conf in zip(*(c.to_pylist() for c in batch.columns)):
-                if now is not None and now[0] == (video, island) and ms - now[1] <= gap_ms and token_set_ratio(text, now[2]) >= similarity:
-                    now[1], now[4] = ms, ts
-                    now[5] += conf
-                    now[6] += 1
-                    continue
-                if now is not None:
-                    out.append((now[0][0], now[2], now[3], now[4], round(now[5] / now[6], 3), now[6]))
-                now = [(video, island), ms, text, ts, ts, conf, 1]
-            if len(out) > 20_000:
-                yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*out), arrow)], schema=arrow)
-                out.clear()
-        if now is not None:
-            out.append((now[0][0], now[2], now[3], now[4], round(now[5] / now[6], 3), now[6]))
+            for video, ms, ts, text, conf, box in zip(*(c.to_pylist() for c in batch.columns)):
+                near = now is not None and now.video == video and ms - now.ms <= gap_ms
+                if near and (text == now.text or token_set_ratio(text, now.text) >= similarity):
+                    now = _Open(now.began, video, now.text, ms) if part is None else now
+                    now.ms = ms
+                    if part is None:
+                        part = [ts, ts, 0.0, 0, []]
+                else:
+                    if part is not None:
+                        close(False)
+                    now, part = _Open(row, video, text, ms), [ts, ts, 0.0, 0, []]
+                part[1] = ts
+                part[2] += conf or 0.0
+                part[3] += 1
+                if not ends_only:
+                    part[4].append(box)
+                row += 1
+                if len(out) > 20_000:
+                    yield flush()
+        if part is not None:
+            close(True)
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*out), arrow)], schema=arrow)
+            yield flush()
+
+    return run
+
+
+def text_segments(rows: DataFrame, *, similarity: float = 90.0, gap_ms: int = 1_000) -> DataFrame:
+    """Segments of one screen text (W3, G8): video_id, text, start_sec, end_sec, avg_conf, frames, bboxes.
+
+    ``rows``: video_id, det_id, frame_ts, text, conf, bbox. In order of time, a row
+    extends the open segment if it is at most ``gap_ms`` after its last row and
+    its words are similar enough to the segment's *first* text; otherwise it
+    opens the next one. ``bboxes`` are those of the segment's rows in order.
+
+    That is sequential, yet no video is gathered in a task: rows are range-sorted chunks.
+    Each chunk is read from a guess of the segment open before it (at first none), which
+    tells what it leaves open itself; the guesses are renewed until none changes. A
+    chunk's end hardly ever depends on its beginning, so the first renewal is the last as a rule; in the worst
+    case (one segment over many chunks) there is one pass a chunk. The passes run while the
+    plan is built; the driver holds one open segment a chunk.
 
-    return (
-        islands.repartition("video_id", "island")
-        .sortWithinPartitions(*order)
-        .select("video_id", "island", "ms", "frame_ts", "text", "conf")
-        .mapInArrow(run, SEGMENT)
+    Defined results: rows without a time are left out, a null text counts as "", a null
+    confidence as 0; null video_ids are a group; an empty table gives no rows.
+    """
+    order = ["video_id", "_ms", "det_id"]
+    source = rows.select(
+        "video_id", "det_id", F.round(F.col("frame_ts") * 1000).cast("bigint").alias("_ms"), F.col("frame_ts").alias("_ts"),
+        F.coalesce("text", F.lit("")).alias("text"), "conf", "bbox",
+    ).where("_ms is not null")
+    placed = materialise(source.repartitionByRange(*order).sortWithinPartitions(*order)).select("video_id", "_ms", "_ts", "text", "conf", "bbox")
+    chunks = placed.rdd.getNumPartitions()
+    entering: dict[int, _Open] = {}
+    parts = None
+    while True:
+        found = placed.mapInArrow(_encode_segments(entering, similarity, gap_ms, parts is None and chunks > 1), PART)
+        parts = materialise(found)
+        if chunks <= 1:
+            break
+        left = {r["_chunk"]: _Open(r["_from"], r["video_id"], r["text"], r["_ms"]) for r in parts.where("_last").drop("bboxes").collect()}
+        renewed, last = {}, None
+        for chunk in range(chunks):
+            if last is not None:
+                renewed[chunk] = last
+            last = left.get(chunk, last)
+        if renewed == entering:
+            break
+        entering = renewed
+    inner = parts.where("not _edge").select("video_id", "text", "start_sec", "end_sec", F.col("_sum"), "frames", "bboxes")
+    merged = (
+        parts.where("_edge")
+        .groupBy("_from")
+        .agg(
+            F.first("video_id").alias("video_id"), F.first("text").alias("text"), F.min("start_sec").alias("start_sec"), F.max("end_sec").alias("end_sec"),
+            F.sum("_sum").alias("_sum"), F.sum("frames").alias("frames"),
+            F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_chunk", "bboxes"))), lambda x: x["bboxes"])).alias("bboxes"),
+        )
+        .drop("_from")
+    )
+    return inner.unionByName(merged).select(
+        "video_id", "text", "start_sec", "end_sec", F.round(F.col("_sum") / F.col("frames"), 3).alias("avg_conf"), "frames", "bboxes"
     )

@@ -232,12 +232,13 @@ def hits_of(ranked: DataFrame, chunks: DataFrame, method: str) -> DataFrame:
     return ranked.join(chunks, "index").select("query", "rank", F.lit(method).alias("method"), "index", *(col(c) for c in held), "score")
 
 
-def passages(hits: DataFrame, chunks: DataFrame, *, before: int = 3, after: int = 3) -> DataFrame:
+def passages(hits: DataFrame, chunks: DataFrame, *, keys: Sequence[str] = (), before: int = 3, after: int = 3) -> DataFrame:
     """Context blocks (R13, W2, O6, G11): query, rank, block. The hit's own line first, then its neighbours in order.
 
-    ``hits``: query, rank, index, start_srt, end_srt; ``chunks``: index, start_srt, end_srt, text."""
-    centre = hits.select("query", "rank", F.col("index").alias("position"), F.col("start_srt").alias("_from"), F.col("end_srt").alias("_to"))
-    around = with_neighbours(centre, chunks.withColumnRenamed("index", "position"), [], before=before, after=after)
+    ``hits``: query, rank, keys, index, start_srt, end_srt; ``chunks``: keys, index, start_srt, end_srt, text.
+    ``keys`` are what an index is counted in; without any it is one of all chunks."""
+    centre = hits.select("query", "rank", *(col(k) for k in keys), F.col("index").alias("position"), F.col("start_srt").alias("_from"), F.col("end_srt").alias("_to"))
+    around = with_neighbours(centre, chunks.withColumnRenamed("index", "position"), list(keys), before=before, after=after)
     line = F.trim(F.concat(F.lit("["), F.col("neighbour.start_srt"), F.lit("–"), F.col("neighbour.end_srt"), F.lit("] "), F.coalesce("neighbour.text", F.lit(""))))
     lines = F.array_sort(F.collect_list(F.struct((F.col("offset") != 0).alias("away"), F.col("offset"), line.alias("line"))))
     grouped = around.groupBy("query", "rank", "_from", "_to").agg(lines.alias("_lines"))

@@ -91,14 +91,50 @@ def _forms(df: DataFrame, word: str, forms_of: Callable[[str], set[str]] = delet
     return df.select(word).mapInArrow(run, schema)
 
 
-def corrections(texts: DataFrame, text: str, dictionary: DataFrame, *, longest: int = 24) -> DataFrame:
+class _Lookup:
+    """A small dictionary in memory, by the same forms and parts as the join."""
+
+    def __init__(self, counts: dict[str, int], longest: int) -> None:
+        self.counts, self.longest, self.by_form = counts, longest, {}
+        for term in counts:
+            forms = deletions(term) if len(term) <= longest + MAX_EDITS else set()
+            for form in forms | (term_parts(term) if len(term) > longest - MAX_EDITS else set()):
+                self.by_form.setdefault(form, []).append(term)
+
+    def best(self, word: str) -> tuple[str, int | None]:
+        if word in self.counts:
+            return word, 0
+        forms = deletions(word) if len(word) <= self.longest else word_parts(word)
+        near = {term for form in forms for term in self.by_form.get(form, ())}
+        found = [(edits, -self.counts[term], term) for term in near if word and (edits := edits_between(word, term)) <= MAX_EDITS]
+        return (min(found)[2], min(found)[0]) if found else (word, None)
+
+
+def corrections(texts: DataFrame, text: str, dictionary: DataFrame, *, longest: int = 24, in_memory: int = 20_000) -> DataFrame:
     """text, corrected, edits for every distinct text: the dictionary's term with the fewest edits (at most two),
     then the greatest count, then the first in order; the text itself with null edits if there is none.
 
     Texts above ``longest`` characters are found by parts of the terms instead of deletions,
-    whose forms grow with the square of the length. Null texts are left out."""
+    whose forms grow with the square of the length. A dictionary of at most ``in_memory`` terms (counted by a
+    job while the plan is built) is sent to the tasks, which look every text up; a larger one is
+    joined on the forms. Null texts are left out; of a term listed twice the greatest count holds."""
     distinct = texts.select(col(text).alias("word")).where("word is not null").distinct()
-    terms = dictionary.select("term", "cnt").where("term is not null")
+    terms = dictionary.where("term is not null").groupBy("term").agg(F.coalesce(F.max("cnt"), F.lit(0)).alias("cnt"))
+    small = terms.limit(in_memory + 1).collect()
+    if len(small) <= in_memory:
+        shared = texts.sparkSession.sparkContext.broadcast({r["term"]: r["cnt"] for r in small})
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            lookup = None
+            for batch in batches:
+                lookup = lookup or _Lookup(shared.value, longest)
+                words = batch.column(0).to_pylist()
+                corrected, edits = zip(*map(lookup.best, words)) if words else ((), ())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(words, pa.string()), pa.array(corrected, pa.string()), pa.array(edits, pa.int32())], names=["text", "corrected", "edits"]
+                )
+
+        return distinct.mapInArrow(run, "text string, corrected string, edits int")
     near = _forms(distinct.where(F.length("word").between(1, longest)), "word").join(
         _forms(terms.where(F.length("term").between(1, longest + MAX_EDITS)), "term"), "form"
     ).select("word", "term").distinct()

@@ -120,16 +120,17 @@ def atempo_steps(factor: float) -> list[float]:
     return [*steps, factor]
 
 
-def frame_times(frames: DataFrame, *, target_fps: float, native_fps: float, batch: int | None = None) -> DataFrame:
+def frame_times(frames: DataFrame, *, target_fps: float | Column, native_fps: float, batch: int | None = None) -> DataFrame:
     """Sampled frames with their times (F6, W8): all columns of ``frames`` (frame_idx, pts_seconds), sample_no, ts.
 
     Every ``step``-th frame is kept, step being native / target rounded
-    half-even, at least 1. A frame's time is its own pts, else frame_idx / native.
+    half-even, at least 1; ``target_fps`` may be a column. A frame's time is its own pts, else frame_idx / native.
     With ``batch`` the time is the older batch-relative one, first time of the
     batch plus place / target, which runs backwards between batches when the
     rates don't divide; it is offered for comparison only.
     """
-    step = max(1, round(native_fps / target_fps))
+    rate = target_fps if isinstance(target_fps, Column) else F.lit(float(target_fps))
+    step = F.greatest(F.lit(1), F.bround(F.lit(float(native_fps)) / rate, 0).cast("int"))
     kept = frames.where(F.col("frame_idx") % step == 0)
     own = F.coalesce("pts_seconds", F.col("frame_idx") / F.lit(float(native_fps)))
     kept = kept.withColumn("sample_no", F.floor(F.col("frame_idx") / step).cast("bigint")).withColumn("ts", own)
@@ -137,4 +138,4 @@ def frame_times(frames: DataFrame, *, target_fps: float, native_fps: float, batc
         return kept
     place = F.col("sample_no") % batch
     start = F.min_by("ts", "sample_no").over(Window.partitionBy(F.floor(F.col("sample_no") / batch)))
-    return kept.withColumn("ts", start + place / F.lit(float(target_fps)))
+    return kept.withColumn("ts", start + place / rate)

@@ -5,20 +5,20 @@ A row delivered twice is one record in every query: keys are made unique first.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cinetable.functions import text as X
-from cinetable.functions.jsontext import json_field
+from cinetable.functions.jsontext import flatten_json
 from cinetable.functions.timetext import srt_ms, srt_text, srt_text_of_day, srt_whole_seconds
 from cinetable.operators.aggregates import by_frame, ocr_rows, word_index
 from cinetable.operators.fulltext import lookup, match, postings
-from cinetable.operators.islands import text_segments
+from cinetable.operators.islands import text_segments, with_islands
 from cinetable.operators.joins import points_with_intervals, speakers_by_overlap, with_contents, with_neighbours
 from cinetable.operators.positions import with_position
-from cinetable.operators.retrieval import timecodes
+from cinetable.operators.retrieval import passages, timecodes
 from cinetable.operators.spelling import corrections
-from cinetable.operators.windows import history_text, time_windows, top_per_group, trimmed_history
+from cinetable.operators.windows import frame_times, history_text, time_windows, top_per_group, trimmed_history
 from cinetable.plans.columns import to_ms
 from cinetable.queries.tables import table
 
@@ -33,9 +33,12 @@ QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
 
-def once(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
-    """A table with every record once; only the named columns (and the key) are read and moved."""
+def once(spark: SparkSession, folder: str, name: str, *columns: str, where: Column | str | None = None) -> DataFrame:
+    """A table with every record once; only the named columns (and the key) are read and moved.
+
+    Copies of a record differ in their time of arrival only, so ``where`` is applied before they are made one."""
     rows = table(spark, folder, name)
+    rows = rows if where is None else rows.where(where)
     wanted = [c for c in rows.columns if (c in columns or c in KEYS[name]) and c != "ingested_at"] if columns else [
         c for c in rows.columns if c != "ingested_at"
     ]
@@ -73,9 +76,9 @@ from names left join intro on names.video_id = intro.video_id and ts between sta
 )
 def interval_join_names(spark: SparkSession, folder: str) -> DataFrame:
     """On-screen names near spoken introductions."""
-    names = once(spark, folder, "ocr_event", "video_id", "ts", "ocr_text").where(X.looks_like_name(F.col("ocr_text")))
-    spoken = once(spark, folder, "utterance", "start_sec", "end_sec", "text")
-    intro = spoken.where(X.any_like(F.col("text"), "my name is ", "i am ", "i'm ", "introduc"))
+    names = once(spark, folder, "ocr_event", "video_id", "ts", "ocr_text", where=X.looks_like_name(F.col("ocr_text")))
+    introduction = X.any_like(F.col("text"), "my name is ", "i am ", "i'm ", "introduc")
+    intro = once(spark, folder, "utterance", "start_sec", "end_sec", "text", where=introduction)
     near = points_with_intervals(
         names, intro, ["video_id"], ["event_id"], F.col("ts"), F.col("start_sec") - 5, F.col("end_sec") + 5, bucket=10.0
     )
@@ -102,8 +105,8 @@ def utterances_of_class(spark: SparkSession, folder: str) -> DataFrame:
 @query("label_like", "select det_id, video_id, frame_ts as timestamp, label, conf from det where label ilike '%person%'")
 def label_like(spark: SparkSession, folder: str) -> DataFrame:
     """Detections whose label contains a word in any case."""
-    rows = once(spark, folder, "detection", "video_id", "frame_ts", "label", "conf")
-    return rows.where(X.any_like(F.col("label"), "person")).select("det_id", "video_id", F.col("frame_ts").alias("timestamp"), "label", "conf")
+    rows = once(spark, folder, "detection", "video_id", "frame_ts", "label", "conf", where=X.any_like(F.col("label"), "person"))
+    return rows.select("det_id", "video_id", F.col("frame_ts").alias("timestamp"), "label", "conf")
 
 
 @query(
@@ -121,7 +124,7 @@ def first_detections(spark: SparkSession, folder: str) -> DataFrame:
 _SAID = "lower(trim(regexp_replace(case when json_valid(extra) then json_extract_string(extra, '$.text') end, '\\s+', ' ', 'g')))"
 _OCR_ROWS = f""",
 rows as (
-  select video_id, det_id, frame_ts, conf, {_SAID} as text from det
+  select video_id, det_id, frame_ts, conf, [x1, y1, x2, y2] as bbox, {_SAID} as text from det
   where conf >= 0.85 and lower(trim(label)) = 'text' and frame_ts is not null),
 said as (select * from rows where length(text) > 1)
 """
@@ -147,13 +150,13 @@ from (select det_id, label, case when json_valid(extra) then extra::json end as
 )
 def json_fields(spark: SparkSession, folder: str) -> DataFrame:
     """Fields of the JSON column, null where it doesn't parse, and the OCR flag."""
-    rows = once(spark, folder, "detection", "label", "extra")
-    text = json_field(F.col("extra"), "$.text")
+    rows = flatten_json(once(spark, folder, "detection", "label", "extra"), "extra", paths=["text", "track", "p.angle"])
+    text = F.col("`extra.text`")
     return rows.select(
         "det_id",
         text.alias("ocr_text"),
-        json_field(F.col("extra"), "$.track").alias("track"),
-        json_field(F.col("extra"), "$.p.angle").alias("angle"),
+        F.col("`extra.track`").alias("track"),
+        F.col("`extra.p.angle`").alias("angle"),
         F.coalesce((F.lower("label") == "text") & text.isNotNull(), F.lit(False)).alias("is_ocr"),
     )
 
@@ -172,44 +175,60 @@ def event_numbers(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     "frame_sample",
-    """select distinct det.video_id, frame_idx, cast(greatest(1, round_even(30.0 / target_fps, 0)) as int) as step
-from det join video on det.video_id = video.video_id
-where frame_idx % cast(greatest(1, round_even(30.0 / target_fps, 0)) as int) = 0
+    """, f as (select video_id, frame_idx, min(frame_ts) as pts from det group by all),
+s as (select f.*, target_fps, cast(greatest(1, round_even(30.0 / target_fps, 0)) as int) as step from f join video using (video_id))
+select video_id, frame_idx, frame_idx // step as sample_no, cast(round(coalesce(pts, frame_idx / 30.0) * 1000) as bigint) as ms
+from s where frame_idx % step = 0
 """,
 )
 def frame_sample(spark: SparkSession, folder: str) -> DataFrame:
-    """The frames that sampling 30 fps video at its class's rate keeps."""
-    rates = table(spark, folder, "video").select(
-        "video_id", F.greatest(F.lit(1), F.bround(F.lit(30.0) / F.col("target_fps"), 0).cast("int")).alias("step")
-    )
-    frames = table(spark, folder, "detection").select("video_id", "frame_idx").distinct()
-    return frames.join(rates, "video_id").where(F.col("frame_idx") % F.col("step") == 0)
+    """The frames that sampling 30 fps video at its class's rate keeps, with their times."""
+    rates = table(spark, folder, "video").select("video_id", "target_fps")
+    frames = table(spark, folder, "detection").groupBy("video_id", "frame_idx").agg(F.min("frame_ts").alias("pts_seconds"))
+    kept = frame_times(frames.join(rates, "video_id"), target_fps=F.col("target_fps"), native_fps=30.0)
+    return kept.select("video_id", "frame_idx", "sample_no", to_ms(F.col("ts")).alias("ms"))
 
 
 @query(
     "frame_aggregate",
-    """, items as (select video_id, frame_idx, coalesce(label, '') as label, conf, det_id, frame_ts from det where frame_idx is not null),
+    """, items as (select * exclude (label), coalesce(label, '') as label from det where frame_idx is not null),
 counts as (select video_id, frame_idx, string_agg(label || ':' || n, ';' order by label) as class_counts
            from (select video_id, frame_idx, label, count(*) as n from items group by all) group by all),
 frames as (select video_id, frame_idx, count(*) as n_detections,
                   string_agg(label, ';' order by label, -coalesce(conf, -1), det_id) as labels,
-                  arg_min(frame_ts, {'a': label, 'b': -coalesce(conf, -1), 'c': det_id}) as unused from items group by all)
-select video_id, frame_idx, cast(n_detections as int) as n_detections, labels, class_counts from frames join counts using (video_id, frame_idx)
+                  first(frame_ts order by label, -coalesce(conf, -1), det_id) as time_seconds,
+                  string_agg(label || ' ' || coalesce(cast(cast(round(conf * 1000000) as bigint) as varchar), '') || ' ' ||
+                             array_to_string(list_transform([x1, y1, x2, y2], lambda v: cast(cast(round(v * 1000) as bigint) as varchar)), ',') || ' ' ||
+                             coalesce(extra, ''), ';' order by label, -coalesce(conf, -1), det_id) as objects
+           from items group by video_id, frame_idx)
+select video_id, frame_idx, cast(n_detections as int) as n_detections, labels, class_counts, time_seconds, objects
+from frames join counts using (video_id, frame_idx)
 """,
 )
 def frame_aggregate(spark: SparkSession, folder: str) -> DataFrame:
-    """Labels and class counts of every frame."""
-    rows = once(spark, folder, "detection")
+    """Labels, class counts, time and objects of every frame."""
+    rows = once(spark, folder, "detection", "video_id", "frame_idx", "frame_ts", "label", "conf", "x1", "y1", "x2", "y2", "extra")
     counts = F.array_join(F.transform(F.map_entries("class_counts"), lambda e: F.concat(e["key"], F.lit(":"), e["value"].cast("string"))), ";")
-    return by_frame(rows, ["video_id"]).select("video_id", "frame_idx", "n_detections", "labels", counts.alias("class_counts"))
+    thousandths = lambda box: F.array_join(F.transform(box, lambda v: F.round(v * 1000).cast("bigint").cast("string")), ",")
+    objects = F.transform(
+        "objects",
+        lambda o: F.concat_ws(
+            " ", o["label"], F.coalesce(F.round(o["conf"] * 1_000_000).cast("bigint").cast("string"), F.lit("")), thousandths(o["bbox_xyxy"]), F.coalesce(o["extra"], F.lit(""))
+        ),
+    )
+    return by_frame(rows, ["video_id"]).select(
+        "video_id", "frame_idx", "n_detections", "labels", counts.alias("class_counts"), "time_seconds", F.array_join(objects, ";").alias("objects")
+    )
 
 
 @query(
     "word_index",
     _OCR_ROWS
-    + """, words as (select video_id, frame_ts, det_id, unnest(regexp_split_to_array(text, '\\s+')) as word from said)
-select video_id, word, count(*) as occurrences, min(frame_ts) as first_ts, max(frame_ts) as last_ts,
-       string_agg(cast(cast(round(frame_ts * 1000) as bigint) as varchar), ',' order by frame_ts, det_id) as times
+    + """, words as (select video_id, frame_ts, det_id, conf, bbox, unnest(regexp_split_to_array(text, '\\s+')) as word from said)
+select video_id, word, count(*) as count, min(frame_ts) as first_ts, max(frame_ts) as last_ts,
+       string_agg(cast(cast(round(frame_ts * 1000) as bigint) as varchar), ',' order by frame_ts, det_id) as times,
+       string_agg(det_id || ' ' || cast(round(conf * 1000000) as bigint) || ' ' ||
+                  array_to_string(list_transform(bbox, lambda v: cast(cast(round(v * 1000) as bigint) as varchar)), ' '), ',' order by frame_ts, det_id) as occurrences
 from words where word <> '' group by video_id, word
 """,
 )
@@ -217,9 +236,14 @@ def words_on_screen(spark: SparkSession, folder: str) -> DataFrame:
     """The inverted index of each video's screen words."""
     found = word_index(_screen_texts(spark, folder), ["video_id"], "frame_ts", "det_id")
     times = F.array_join(F.transform("timestamps", lambda t: F.round(t * 1000).cast("bigint").cast("string")), ",")
-    return found.select(
-        "video_id", "word", "occurrences", F.array_min("timestamps").alias("first_ts"), F.array_max("timestamps").alias("last_ts"), times.alias("times")
+    whole = lambda x, factor: F.round(x * factor).cast("bigint").cast("string")
+    each = F.transform(
+        "occurrences", lambda o: F.concat_ws(" ", o["ident"].cast("string"), whole(o["conf"], 1_000_000), F.array_join(F.transform(o["bbox"], lambda v: whole(v, 1000)), " "))
     )
+    return found.select(
+        "video_id", "word", "count", F.array_min("timestamps").alias("first_ts"), F.array_max("timestamps").alias("last_ts"), times.alias("times"),
+        F.array_join(each, ",").alias("occurrences"),
+    )
 
 
 @query("text_segments")
@@ -299,17 +323,9 @@ from near group by video_id, position, start_srt, end_srt
 )
 def rendered_passages(spark: SparkSession, folder: str) -> DataFrame:
     """Every chunk as a passage with one neighbour on either side."""
-    chunks = _placed(spark, folder, "text", "start_srt", "end_srt")
-    line = F.trim(F.concat(F.lit("["), F.col("neighbour.start_srt"), F.lit("–"), F.col("neighbour.end_srt"), F.lit("] "), F.coalesce("neighbour.text", F.lit(""))))
-    hits = chunks.select("video_id", "position", F.col("start_srt").alias("_from"), F.col("end_srt").alias("_to"))
-    around = with_neighbours(hits, chunks.select("video_id", "position", "start_srt", "end_srt", "text"), ["video_id"], before=1, after=1)
-    lines = F.array_sort(F.collect_list(F.struct((F.col("offset") != 0).alias("away"), F.col("offset"), line.alias("line"))))
-    grouped = around.groupBy("video_id", "position", "_from", "_to").agg(lines.alias("_lines"))
-    rank = (F.col("position") + 1).cast("int")
-    head = F.concat(F.lit("### Passage "), rank.cast("string"), F.lit(" | Main: "), F.col("_from"), F.lit("–"), F.col("_to"), F.lit("\n"))
-    return grouped.select(
-        F.col("video_id").alias("query"), rank.alias("rank"), F.concat(head, F.array_join(F.transform("_lines", lambda x: x["line"]), "\n")).alias("block")
-    )
+    chunks = _placed(spark, folder, "text", "start_srt", "end_srt").withColumnRenamed("position", "index")
+    hits = chunks.select(F.col("video_id").alias("query"), (F.col("index") + 1).cast("int").alias("rank"), "video_id", "index", "start_srt", "end_srt")
+    return passages(hits, chunks.select("video_id", "index", "start_srt", "end_srt", "text"), keys=["video_id"], before=1, after=1)
 
 
 @query(
@@ -408,9 +424,9 @@ _TERMS = "list_filter(regexp_split_to_array(trim(regexp_replace(strip_accents(lo
 
 @query("fts_match", f"select start_sec, text, video_id, utt_id from utt where list_has_all({_TERMS}, ['camera', 'badge'])")
 def fts_match(spark: SparkSession, folder: str) -> DataFrame:
-    """Utterances that hold both words."""
-    rows = once(spark, folder, "utterance", "start_sec", "text")
-    return rows.where(match(F.col("text"), "camera badge")).select("start_sec", "text", "video_id", "utt_id")
+    """Utterances that hold both words, by a scan."""
+    rows = once(spark, folder, "utterance", "start_sec", "text", where=match(F.col("text"), "camera badge"))
+    return rows.select("start_sec", "text", "video_id", "utt_id")
 
 
 @query("fts_lookup", f"select video_id, utt_id from utt where list_has_all({_TERMS}, ['camera', 'badge'])")
@@ -427,8 +443,7 @@ where contains(' ' || array_to_string({_TERMS}, ' ') || ' ', ' night shift ') or
 )
 def fts_phrase(spark: SparkSession, folder: str) -> DataFrame:
     """A phrase or a prefix."""
-    rows = once(spark, folder, "utterance", "text")
-    return rows.where(match(F.col("text"), '"night shift" OR umbr*')).select("video_id", "utt_id")
+    return once(spark, folder, "utterance", where=match(F.col("text"), '"night shift" OR umbr*')).select("video_id", "utt_id")
 
 
 @query(
@@ -494,14 +509,14 @@ def json_in_text(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     "speaker_prefix",
-    """select video_id, utt_id, case when regexp_matches(text, '^\\[[^\\]\\n]*\\][^\\n]*$') then regexp_extract(text, '^\\[(.*?)\\]', 1) else 'UNK' end as named,
-       case when regexp_matches(text, '^\\[[^\\]\\n]*\\][^\\n]*$') then regexp_extract(text, '^\\[.*?\\]\\s*(.*)$', 1) else text end as said
-from utt where text is not null and text not like '%' || chr(10) || '%'
+    """select video_id, utt_id, case when regexp_matches(text, '^\\[[^\\]\\n]*\\]') then regexp_extract(text, '^\\[(.*?)\\]', 1) else 'UNK' end as named,
+       case when regexp_matches(text, '^\\[[^\\]\\n]*\\]') then regexp_extract(text, '^\\[[^\\]\\n]*\\]\\s*((?s:.*))$', 1) else text end as said
+from utt
 """,
 )
 def speaker_prefix(spark: SparkSession, folder: str) -> DataFrame:
     """A name in brackets before the text."""
-    rows = once(spark, folder, "utterance", "text").where("text is not null and not contains(text, '\n')")
+    rows = once(spark, folder, "utterance", "text")
     return rows.select("video_id", "utt_id", X.speaker_of_line(F.col("text")).alias("named"), X.line_without_speaker(F.col("text")).alias("said"))
 
 
@@ -575,9 +590,37 @@ def table_counts(spark: SparkSession, folder: str) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-@query("spelling")
+@query(
+    "spelling",
+    _OCR_ROWS
+    + """, strings as (select text as s from said union select unnest(regexp_split_to_array(text, '\\s+')) from said),
+-- the function counts bytes, so letters beyond ASCII become capitals, which the lower-case strings don't have
+near as (select s, term, cnt, damerau_levenshtein(translate(s, 'äöüßàâçéèêëîïôûùáíóúñ…–’œ', 'ABCDEFGHIJKLMNOPQRSTUVWXY'),
+                                                  translate(term, 'äöüßàâçéèêëîïôûùáíóúñ…–’œ', 'ABCDEFGHIJKLMNOPQRSTUVWXY')) as edits
+         from strings, freq_term where abs(length(s) - length(term)) <= 2),
+best as (select * from near where edits <= 2 qualify row_number() over (partition by s order by edits, cnt desc, term) = 1)
+select s as text, coalesce(term, s) as corrected, cast(edits as int) as edits from strings left join best using (s)
+""",
+)
 def spelling(spark: SparkSession, folder: str) -> DataFrame:
-    """Screen words with their correction by the frequency dictionary."""
-    words = _screen_texts(spark, folder).select(F.explode(F.split("text", r"\s+")).alias("word"))
-    plain = words.select(F.regexp_replace("word", r"[^\p{L}'-]", "").alias("word")).where("word != ''")
-    return corrections(plain, "word", table(spark, folder, "freq_term"))
+    """Screen texts and the words in them with their correction by the frequency dictionary."""
+    texts = _screen_texts(spark, folder).select("text")
+    words = texts.select(F.explode(F.split("text", r"\s+")).alias("text"))
+    return corrections(texts.unionByName(words), "text", table(spark, folder, "freq_term"))
+
+
+@query(
+    "seen_periods",
+    """, t as (select video_id, det_id, cast(round(frame_ts * 1000) as bigint) as ms from det where frame_ts is not null),
+b as (select *, case when ms - lag(ms) over (partition by video_id order by ms, det_id) <= 5000 then 0 else 1 end as fresh from t),
+i as (select *, sum(fresh) over (partition by video_id order by ms, det_id rows unbounded preceding) as island from b)
+select video_id, min(ms) as start_ms, max(ms) as end_ms, count(*) as detections from i group by video_id, island
+""",
+)
+def seen_periods(spark: SparkSession, folder: str) -> DataFrame:
+    """Stretches of a video in which something is detected at least every five seconds (islands of W3)."""
+    rows = once(spark, folder, "detection", "video_id", "frame_ts", where="frame_ts is not null")
+    timed = rows.select("video_id", "det_id", to_ms(F.col("frame_ts")).alias("ms"))
+    return with_islands(timed, ["video_id"], "ms", "det_id", gap_ms=5_000).groupBy("video_id", "island").agg(
+        F.min("ms").alias("start_ms"), F.max("ms").alias("end_ms"), F.count("*").alias("detections")
+    ).drop("island")

@@ -152,8 +152,13 @@ def test_segments_equal_the_loop(many_chunks):
     for i in range(300):
         t += rng.choice([0.2, 0.2, 0.2, 0.9, 1.3])
         data.append(("w", 100 + i, round(t, 1), rng.choice(["red van", "the red van", "blue sky", "red van x y z"]), 0.5))
+    data += [("x", 500 + i, 7 + i / 10, "one text for long", 0.5) for i in range(200)]
     df = many_chunks.createDataFrame(data, "video_id string, det_id long, frame_ts double, text string, conf double")
+    df = df.withColumn("bbox", F.array(F.col("det_id").cast("double"), F.lit(1.0)))
     got = text_segments(df)
+    assert sum(len(r.bboxes) for r in got.collect()) == len(data) and all(len(r.bboxes) == r.frames for r in got.collect())
+    long = got.where("video_id = 'x'").first()
+    assert [b[0] for b in long.bboxes] == [float(i) for i in range(500, 700)] and long.avg_conf == 0.5
     assert rows(got, "video_id", "text", "start_sec", "end_sec", "frames") == sequential_segments(data, 1000, 90)
     assert text_segments(df.limit(0)).count() == 0
 
