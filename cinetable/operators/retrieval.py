@@ -1,7 +1,7 @@
 """Ranked retrieval: BM25, dense vectors, fusion, reranking, context.
 
 Ranks are decided by score, then by the smaller index, so ties have one result.
-The index parts are DataFrames (or Parquet) built once: postings, lengths and
+The index parts are DataFrames (or Parquet) built once: words, lengths and
 term weights. Queries are a table too; many are answered in one pass.
 """
 
@@ -9,11 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,129 +23,268 @@ from cinetable.operators.joins import with_neighbours
 from cinetable.operators.windows import top_per_group
 from cinetable.plans.columns import col
 from cinetable.plans.lineage import materialise
+from cinetable.sinks.store import write_json_lines
 
 K1, B, FLOOR = 1.5, 0.75, 0.25
 RRF_K, MISSING_RANK = 60, 10_000
 
 
+#: What of a set of questions is sent to all tasks at once; more is asked in several passes over the documents.
+SENT_BYTES = 64 << 20
+QUESTIONS_AT_ONCE = 256
+
+
 @dataclass
 class LexicalIndex:
-    """``postings``: index, term, tf, dl. ``weights``: term, idf. ``documents``: index. ``avgdl``: mean length."""
+    """``documents``: index, dl, terms (words in order). ``weights``: term, idf. ``avgdl``: mean length.
+
+    ``chunks`` (index and their columns), ``vectors`` (index, vector) and ``meta`` (facts about the
+    build) are stored beside them where given (S6, K8)."""
 
-    postings: DataFrame
-    weights: DataFrame
     documents: DataFrame
+    weights: DataFrame
     avgdl: float
+    chunks: DataFrame | None = None
+    vectors: DataFrame | None = None
+    meta: dict[str, str] | None = None
 
     def write(self, folder: str) -> None:
-        self.postings.write.mode("overwrite").parquet(f"{folder}/postings")
-        self.weights.write.mode("overwrite").parquet(f"{folder}/weights")
-        self.documents.write.mode("overwrite").parquet(f"{folder}/documents")
-        spark = self.postings.sparkSession
-        spark.createDataFrame([(self.avgdl,)], "avgdl double").coalesce(1).write.mode("overwrite").json(f"{folder}/meta")
+        """Parquet of words, weights and vectors, JSON lines of chunks, JSON of the facts."""
+        parts = {"documents": self.documents, "weights": self.weights, "vectors": self.vectors}
+        for name, part in parts.items():
+            if part is not None:
+                part.write.mode("overwrite").parquet(f"{folder}/{name}")
+        if self.chunks is not None:
+            write_json_lines(self.chunks, f"{folder}/chunks")
+        facts = [(self.avgdl, dict(self.meta or {}))]
+        write_json_lines(self.documents.sparkSession.createDataFrame(facts, _META).coalesce(1), f"{folder}/meta")
 
     @classmethod
-    def read(cls, spark: SparkSession, folder: str) -> LexicalIndex:
-        parts = [spark.read.parquet(f"{folder}/{name}") for name in ("postings", "weights", "documents")]
-        avgdl = spark.read.schema("avgdl double").json(f"{folder}/meta").first()["avgdl"]
-        return cls(*parts, avgdl)
+    def read(cls, spark: SparkSession, folder: str, *, chunks: T.StructType | str | None = None, vectors: bool = False) -> LexicalIndex:
+        """``chunks`` is the schema of the stored chunks, if they are wanted."""
+        facts = spark.read.schema(_META).json(f"{folder}/meta").first()
+        return cls(
+            spark.read.parquet(f"{folder}/documents"),
+            spark.read.parquet(f"{folder}/weights"),
+            facts["avgdl"],
+            None if chunks is None else spark.read.schema(chunks).json(f"{folder}/chunks"),
+            spark.read.parquet(f"{folder}/vectors") if vectors else None,
+            facts["meta"],
+        )
+
+    @property
+    def postings(self) -> DataFrame:
+        """index, dl, term, tf."""
+        return self.documents.select("index", "dl", F.explode("terms").alias("term")).groupBy("index", "dl", "term").agg(F.count("*").alias("tf"))
+
+
+_META = "avgdl double, meta map<string, string>"
 
 
 def build_lexical(docs: DataFrame, index: str, text: str, *, remove_stop_words: bool = True) -> LexicalIndex:
-    """BM25 parts of a table of texts.
+    """BM25 parts of a table of texts (R3, G6). Words and weights are written once, while the plan is built.
 
     idf is ln(N - df + 0.5) - ln(df + 0.5); a negative one is replaced by
     ``FLOOR`` times the mean idf of the vocabulary. Null texts count as empty."""
-    split = docs.select(
-        col(index).alias("index"), F.coalesce(tokens(col(text), remove_stop_words=remove_stop_words), F.array().cast("array<string>")).alias("_t")
-    )
-    whole = materialise(split.withColumn("dl", F.size("_t")))
+    words = F.coalesce(tokens(col(text), remove_stop_words=remove_stop_words), F.array().cast("array<string>"))
+    whole = materialise(docs.select(col(index).alias("index"), words.alias("terms")).select("index", F.size("terms").alias("dl"), "terms"))
     totals = whole.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).first()
-    postings = materialise(
-        whole.select("index", "dl", F.explode("_t").alias("term")).groupBy("index", "dl", "term").agg(F.count("*").alias("tf"))
-    )
-    spread = postings.groupBy("term").agg(F.count("*").alias("df"))
-    raw = spread.select("term", (F.log(totals["n"] - F.col("df") + F.lit(0.5)) - F.log(F.col("df") + F.lit(0.5))).alias("_raw"))
+    spread = whole.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    raw = materialise(spread.select("term", (F.log(totals["n"] - F.col("df") + F.lit(0.5)) - F.log(F.col("df") + F.lit(0.5))).alias("_raw")))
     mean = raw.agg(F.avg("_raw")).first()[0]
     floor = F.lit(None if mean is None else mean * FLOOR).cast("double")
     weights = raw.select("term", F.when(F.col("_raw") < 0, floor).otherwise(F.col("_raw")).alias("idf"))
-    return LexicalIndex(postings, weights, whole.select("index"), totals["avgdl"] or 0.0)
+    return LexicalIndex(whole, weights, totals["avgdl"] or 0.0)
 
 
-def _gains(lexical: LexicalIndex, queries: DataFrame, query: str, text: str) -> DataFrame:
-    asked = (
-        queries.select(col(query).alias("query"), F.explode(tokens(col(text))).alias("term"))
-        .groupBy("query", "term")
-        .agg(F.count("*").alias("times"))
-        .join(lexical.weights, "term")
-    )
-    tf, norm = F.col("tf"), (1 - B + B * F.col("dl") / F.lit(lexical.avgdl))
-    gain = F.col("times") * F.col("idf") * tf * (K1 + 1) / (tf + K1 * norm)
-    return lexical.postings.join(asked, "term").select("query", "index", gain.alias("gain"))
+def _asked(lexical: LexicalIndex, queries: DataFrame, query: str, text: str) -> DataFrame:
+    """query, term, weight: how often a question holds a word, times the word's idf."""
+    words = queries.select(col(query).alias("query"), F.explode(tokens(col(text))).alias("term")).groupBy("query", "term").agg(F.count("*").alias("times"))
+    return words.join(lexical.weights, "term").select("query", "term", (F.col("times") * F.col("idf")).alias("weight"))
 
 
 def bm25_scores(lexical: LexicalIndex, queries: DataFrame, query: str = "query_id", text: str = "text") -> DataFrame:
-    """query, index, score of every document that holds a word of the query; repeated words count again."""
-    return _gains(lexical, queries, query, text).groupBy("query", "index").agg(F.sum("gain").alias("score"))
+    """query, index, score of every document that holds a word of the query; repeated words count again.
+
+    All of them: the result has a row for each such document, so a frequent word makes many. ``bm25_top`` doesn't."""
+    tf, norm = F.col("tf"), (1 - B + B * F.col("dl") / F.lit(lexical.avgdl))
+    gain = F.col("weight") * tf * (K1 + 1) / (tf + K1 * norm)
+    matched = lexical.postings.join(_asked(lexical, queries, query, text), "term")
+    return matched.select("query", "index", gain.alias("gain")).groupBy("query", "index").agg(F.sum("gain").alias("score"))
+
+
+# --- the best k of all documents for many questions ----------------------------
+#
+# Questions go to the documents: a task keeps the best k of its own documents for every question,
+# so what leaves it is bounded by questions x k, whatever words are frequent.
+
+
+class _Best:
+    """The best ``k`` (score, then smaller index) a question."""
+
+    def __init__(self, questions: int, k: int) -> None:
+        self.k = k
+        self.scores = [np.empty(0)] * questions
+        self.idents = [np.empty(0, np.int64)] * questions
+        self.least = np.full(questions, -np.inf)
+
+    def add(self, q: int, idents: np.ndarray, scores: np.ndarray) -> None:
+        kept = np.flatnonzero(scores >= self.least[q])
+        if len(kept) > self.k:
+            part = scores[kept]
+            kept = kept[part >= np.partition(part, -self.k)[-self.k]]  # ties included
+        if not len(kept):
+            return
+        scores, idents = np.concatenate([self.scores[q], scores[kept]]), np.concatenate([self.idents[q], idents[kept]])
+        order = np.lexsort((idents, -scores))[: self.k]
+        self.scores[q], self.idents[q] = scores[order], idents[order]
+        if len(order) == self.k:
+            self.least[q] = self.scores[q][-1]
+
+    def batches(self, questions: np.ndarray) -> Iterator[pa.RecordBatch]:
+        counts = [len(s) for s in self.scores]
+        if sum(counts):
+            columns = np.repeat(questions, counts), np.concatenate(self.idents), np.concatenate(self.scores)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query", "index", "score"])
+
+
+_RANKED = "query bigint, index bigint, score double"
+
+
+def _passes(asked: DataFrame, size: Column, run: Callable[[pa.Table], DataFrame], k: int) -> DataFrame:
+    """``run`` on the questions, in parts (by a hash of ``query``) of at most about ``SENT_BYTES``; then the best ``k`` of all.
+
+    One small job counts the questions and one collects each part while the plan is built."""
+    total = asked.agg(F.sum(size)).first()[0] or 0
+    parts = max(1, -(-int(total) // SENT_BYTES))
+    mine = F.pmod(F.xxhash64("query"), F.lit(parts))
+    found = reduce(DataFrame.unionByName, [run((asked.where(mine == n) if parts > 1 else asked).toArrow()) for n in range(parts)])
+    return top_per_group(found, ["query"], [F.col("score").desc(), F.col("index").asc()], k)
 
 
 def bm25_top(lexical: LexicalIndex, queries: DataFrame, k: int, query: str = "query_id", text: str = "text") -> DataFrame:
-    """query, index, score, rank of the best ``k`` (R4, O4). Documents without a word of the query have score 0 and
-    fill up the list in order of index."""
+    """query, index, score, rank of the best ``k`` (R4, O4); query and index are whole numbers. Documents without a word
+    of the query have score 0 and fill up the list in order of index.
+
+    Documents stay where they are, words are never joined. A batch of documents is left out for a question
+    whose words' greatest gains in it add up to less than its k-th best score so far, which is exact."""
     # among the 2k smallest indexes at least k are unmatched whenever fewer than k match
-    spare = [row["index"] for row in lexical.documents.orderBy("index").limit(2 * k).collect()]
+    spare = [row["index"] for row in lexical.documents.select("index").orderBy("index").limit(2 * k).collect()]
+    asked = _asked(lexical, queries.select(col(query).cast("bigint").alias("query"), col(text).alias("text")), "query", "text")
+    avgdl, spark = lexical.avgdl, queries.sparkSession
+
+    def run(part: pa.Table) -> DataFrame:
+        ids, q = np.unique(part["query"].to_numpy(), return_inverse=True)
+        words = part["term"].combine_chunks().dictionary_encode()
+        order = np.lexsort((q, words.indices.to_numpy()))
+        term, q, weight = words.indices.to_numpy()[order], q[order], part["weight"].to_numpy()[order]
+        places = np.searchsorted(term, np.arange(len(words.dictionary) + 1))
+        shared = spark.sparkContext.broadcast((ids, {w: n for n, w in enumerate(words.dictionary.to_pylist())}, places, q, weight))
+
+        def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, numbers, places, q, weight = shared.value
+            top = _Best(len(ids), k)
+            for batch in batches:
+                _score_words(batch, numbers, places, q, weight, avgdl, top)
+            yield from top.batches(ids)
+
+        return lexical.documents.select(F.col("index").cast("bigint").alias("index"), "dl", "terms").mapInArrow(best, _RANKED)
+
     some = F.array(*(F.lit(i) for i in spare)) if spare else F.array()
-    empty = queries.select(col(query).alias("query"), F.explode(some.cast("array<bigint>")).alias("index"), F.lit(0.0).alias("gain"))
-    scored = _gains(lexical, queries, query, text).unionByName(empty).groupBy("query", "index").agg(F.sum("gain").alias("score"))
+    empty = queries.select(col(query).cast("bigint").alias("query"), F.explode(some.cast("array<bigint>")).alias("index"), F.lit(0.0).alias("score"))
+    # a document may come with its own score and as a spare: the former may be negative, so it is not the greater that counts
+    found = _passes(asked, F.octet_length("term") + 16, run, k).withColumn("own", F.lit(True))
+    both = found.drop("rank").unionByName(empty.withColumn("own", F.lit(False)))
+    scored = both.groupBy("query", "index").agg(F.max_by("score", "own").alias("score"))
     return top_per_group(scored, ["query"], [F.col("score").desc(), F.col("index").asc()], k)
 
 
+def _score_words(batch: pa.RecordBatch, numbers: dict[str, int], places: np.ndarray, q: np.ndarray, weight: np.ndarray, avgdl: float, top: _Best) -> None:
+    idents, lengths, words = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2)
+    coded = words.flatten().dictionary_encode()
+    to_number = np.array([numbers.get(w, -1) for w in coded.dictionary.to_pylist()], dtype=np.int64)
+    if not len(to_number) or not len(top.least):
+        return
+    term = to_number[coded.indices.to_numpy()]
+    doc = np.repeat(np.arange(len(idents)), lengths)[term >= 0]
+    pair, tf = np.unique(term[term >= 0] * len(idents) + doc, return_counts=True)
+    term, doc = np.divmod(pair, len(idents))
+    gain = tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[doc] / avgdl))
+    present, starts = np.unique(term, return_index=True)
+    ends = [*starts[1:], len(term)]
+    # the most that a document of the batch can have for each question
+    bound, matched = np.zeros(len(top.least)), np.zeros(len(top.least), dtype=bool)
+    for t, a, b in zip(present, starts, ends):
+        own = slice(places[t], places[t + 1])
+        bound[q[own]] += np.maximum(weight[own] * gain[a:b].max(), 0)
+        matched[q[own]] = True
+    open_questions = np.flatnonzero(matched & (bound * (1 + 1e-9) >= top.least))
+    for at in range(0, len(open_questions), QUESTIONS_AT_ONCE):
+        some = open_questions[at : at + QUESTIONS_AT_ONCE]
+        row = np.full(len(top.least), -1)
+        row[some] = np.arange(len(some))
+        scores, holds = np.zeros((len(some), len(idents))), np.zeros((len(some), len(idents)), dtype=bool)
+        for t, a, b in zip(present, starts, ends):
+            own = slice(places[t], places[t + 1])
+            asking = row[q[own]]
+            cells = np.ix_(asking[asking >= 0], doc[a:b])
+            scores[cells] += np.outer(weight[own][asking >= 0], gain[a:b])
+            holds[cells] = True
+        for n, question in enumerate(some):
+            found = np.flatnonzero(holds[n])
+            top.add(question, idents[found], scores[n, found])
+
+
 def dense_top(
-    vectors: DataFrame, queries: DataFrame, k: int, *, index: str = "index", vector: str = "vector", query: str = "query", query_vector: str = "vector", block: int = 256
+    vectors: DataFrame, queries: DataFrame, k: int, *, index: str = "index", vector: str = "vector", query: str = "query", query_vector: str = "vector"
 ) -> DataFrame:
     """query, index, score, rank of the ``k`` vectors with the greatest inner product.
 
-    Exact. Queries and vectors are packed in blocks of at most about ``block``
-    rows; each pair of blocks is one matrix product that passes on its best
-    ``k`` a query, so the pairs themselves never exist as rows. Vectors of
-    another length than the query, and null vectors, are left out.
-    """
-
-    def blocks(df: DataFrame, ident: str, values: str, size: int, side: str) -> DataFrame:
-        held = df.select(col(ident).cast("bigint").alias("_i"), col(values).cast("array<double>").alias("_v")).where("_v is not null and _i is not null")
-        count = max(1, -(-held.count() // size))
-        return held.groupBy(F.pmod(F.xxhash64("_i"), F.lit(count)).alias("_b")).agg(F.collect_list(F.struct("_i", "_v")).alias(side)).select(side)
-
-    pairs = blocks(queries, query, query_vector, block, "q").crossJoin(blocks(vectors, index, vector, 8 * block, "d"))
-    schema = "query bigint, index bigint, score double"
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for asked, held in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                by_length: dict[int, tuple[list, list]] = {}
-                for side, rows in enumerate((asked, held)):
-                    for row in rows:
-                        by_length.setdefault(len(row["_v"]), ([], []))[side].append(row)
-                out: list[tuple[int, int, float]] = []
-                for wanted, others in by_length.values():
-                    if not wanted or not others:
+    Exact, in double precision. Vectors stay where they are and are read as matrices from their Arrow
+    buffers; a task's products with all questions are cut to the best ``k`` a question before they leave it. Vectors of
+    another length than the query, and null vectors, ids or elements, are left out."""
+    asked = queries.select(col(query).cast("bigint").alias("query"), col(query_vector).cast("array<double>").alias("vector")).where(
+        "query is not null and vector is not null and not exists(vector, x -> x is null)"
+    )
+    held = vectors.select(col(index).cast("bigint").alias("index"), col(vector).alias("vector")).where(
+        "index is not null and vector is not null and not exists(vector, x -> x is null)"
+    )
+    spark = queries.sparkSession
+
+    def run(part: pa.Table) -> DataFrame:
+        shared = spark.sparkContext.broadcast(_by_length(part["query"].to_numpy(), part["vector"].combine_chunks()))
+
+        def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            tops = {length: _Best(len(ids), k) for length, (ids, _) in shared.value.items()}
+            for batch in batches:
+                for length, (idents, matrix) in _by_length(batch.column(0).to_numpy(), batch.column(1)).items():
+                    if length not in tops:
                         continue
-                    idents = np.array([o["_i"] for o in others])
-                    products = np.array([w["_v"] for w in wanted]) @ np.array([o["_v"] for o in others]).T
-                    for row, scores in zip(wanted, products):
-                        kept = np.arange(len(scores))
-                        if len(scores) > k:
-                            kept = np.flatnonzero(scores >= np.partition(scores, -k)[-k])  # ties included
-                        kept = kept[np.lexsort((idents[kept], -scores[kept]))[:k]]
-                        out += [(row["_i"], int(idents[i]), float(scores[i])) for i in kept]
-                if out:
-                    q, i, s = zip(*out)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(q, pa.int64()), pa.array(i, pa.int64()), pa.array(s, pa.float64())], names=["query", "index", "score"]
-                    )
-
-    best = pairs.mapInArrow(run, schema)
-    return top_per_group(best, ["query"], [F.col("score").desc(), F.col("index").asc()], k)
+                    wanted = shared.value[length][1]
+                    for at in range(0, len(wanted), QUESTIONS_AT_ONCE):
+                        for n, scores in enumerate(wanted[at : at + QUESTIONS_AT_ONCE] @ matrix.T, at):
+                            tops[length].add(n, idents, scores)
+            for length, top in tops.items():
+                yield from top.batches(shared.value[length][0])
+
+        return held.mapInArrow(best, _RANKED)
+
+    return _passes(asked, F.size("vector") * 8 + 8, run, k)
+
+
+def _by_length(idents: np.ndarray, lists: pa.ListArray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Ids and matrix of the vectors of each length."""
+    flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    lengths = lists.value_lengths().to_numpy(zero_copy_only=False)
+    if len(lengths) and (lengths == lengths[0]).all():
+        return {int(lengths[0]): (idents, flat.reshape(len(lengths), -1))} if lengths[0] else {}
+    starts = np.concatenate([[0], np.cumsum(lengths)[:-1]]) if len(lengths) else lengths
+    out = {}
+    for length in np.unique(lengths):
+        if length:
+            own = np.flatnonzero(lengths == length)
+            out[int(length)] = (idents[own], flat[starts[own][:, None] + np.arange(length)])
+    return out
 
 
 def fuse_ranks(lexical: DataFrame, dense: DataFrame, k: int) -> DataFrame:

@@ -227,7 +227,7 @@ def test_dense(spark):
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(data)] + [(90, None), (91, [1.0])], "index long, vector array<double>")
     asked = spark.createDataFrame([(5, data[3].tolist()), (6, data[20].tolist())], "query long, vector array<double>")
     got = {}
-    for r in R.dense_top(df, asked, 5, block=7).orderBy("query", "rank").collect():
+    for r in R.dense_top(df.repartition(3), asked, 5).orderBy("query", "rank").collect():
         got.setdefault(r.query, []).append(r["index"])
     for q, v in ((5, data[3]), (6, data[20])):
         assert got[q] == sorted(range(60), key=lambda i: (-round(float(data[i] @ v), 12), i))[:5]
@@ -294,3 +294,36 @@ def test_hybrid_query_keeps_texts_without_vectors(spark, monkeypatch):
     monkeypatch.setattr(search, "_text_queries", lambda *_: spark.createDataFrame([(50, "red"), (100, "sky")], "query_id long, text string"))
     monkeypatch.setattr(search, "_vector_queries", lambda *_: spark.createDataFrame([(0, [1.0, 0.0]), (150, [0.0, 1.0])], "query long, vector array<double>"))
     assert {r.query for r in search.search_hybrid(spark, "").collect()} == {0, 50, 150}
+
+
+def test_questions_in_several_passes(spark, monkeypatch):
+    rng = random.Random(12)
+    words = ["red", "van", "gate", "sky", "tree", "car"] + [f"w{i}" for i in range(60)]
+    docs = [(i, " ".join(rng.choices(words, weights=[30] * 3 + [5] * 3 + [1] * 60, k=rng.randrange(0, 30)))) for i in range(700)]
+    asked = [(q, " ".join(rng.choices(words, k=rng.randrange(1, 6)))) for q in range(600)]
+    index = R.build_lexical(spark.createDataFrame(docs, "index long, text string").repartition(3), "index", "text")
+    queries = spark.createDataFrame(asked, "query_id long, text string")
+    want = {}
+    for r in R.bm25_scores(index, queries).collect():
+        want.setdefault(r.query, {})[r["index"]] = r.score
+    for limit in (64 << 20, 20_000):
+        monkeypatch.setattr(R, "SENT_BYTES", limit)
+        got = {}
+        for r in R.bm25_top(index, queries, 7).orderBy("query", "rank").collect():
+            got.setdefault(r.query, []).append((r["index"], r.score))
+        for q, _ in asked:
+            scores = {i: 0.0 for i in range(700)} | want.get(q, {})
+            best = sorted(scores.items(), key=lambda x: (-round(x[1], 9), x[0]))[:7]
+            assert np.allclose([s for _, s in got[q]], [s for _, s in best])
+            assert {i for i, s in got[q] if s > best[-1][1] + 1e-9} == {i for i, s in best if s > best[-1][1] + 1e-9}
+
+
+def test_stored_index(spark, tmp_path):
+    chunks = spark.createDataFrame([(0, "a", "red van"), (1, "b", None)], "index long, chunk_id string, text string")
+    index = R.build_lexical(chunks, "index", "text")
+    index.chunks, index.vectors, index.meta = chunks, spark.createDataFrame([(0, [1.0])], "index long, vector array<float>"), {"anchor": "first"}
+    index.write(str(tmp_path / "ix"))
+    again = R.LexicalIndex.read(spark, str(tmp_path / "ix"), chunks=chunks.schema, vectors=True)
+    assert (again.avgdl, again.meta) == (1.0, {"anchor": "first"})
+    assert sorted(map(tuple, again.chunks.collect())) == sorted(map(tuple, chunks.collect())) and again.vectors.count() == 1
+    assert {(r.term, r.tf) for r in again.postings.collect()} == {("red", 1), ("van", 1)}
