@@ -20,6 +20,7 @@ def local_session(cores: int | str = "*", **settings: str) -> SparkSession:
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "8g",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
     for key, value in (defaults | settings).items():
         builder = builder.config(key, value)

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cinetable.functions.timetext import srt_text
 from cinetable.operators.aggregates import by_frame
+from cinetable.operators.fulltext import postings
 from cinetable.plans.columns import col
 
 TABLES = ("video", "utterance", "visual_event", "ocr_event", "chunks")
@@ -45,10 +48,21 @@ def detections_csv(detections: DataFrame) -> DataFrame:
     ).orderBy("frame_index", "label", F.desc("conf"))
 
 
-def frames_csv(detections: DataFrame) -> DataFrame:
-    """The per-frame table with JSON cells (K5)."""
-    frames = by_frame(detections, [])
+def older_detections_csv(detections: DataFrame) -> DataFrame:
+    """The tall table in the shape of the older extractor, without frame numbers (K6)."""
+    return detections_csv(detections).drop("frame_index").orderBy("time_seconds", "label", F.desc("conf"))
+
+
+def ingest_detections_csv(detections: DataFrame) -> DataFrame:
+    """The tall table in the shape that the ingest step reads (K6): frame_ts, label, conf, box, extra."""
+    return detections.select("frame_ts", "label", "conf", "x1", "y1", "x2", "y2", "extra").orderBy("frame_ts", "label", F.desc("conf"))
+
+
+def frames_csv(detections: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """The per-frame table with JSON cells (K5), of one video or, with ``keys`` before the other columns, of many."""
+    frames = by_frame(detections, list(keys))
     return frames.select(
+        *(col(k) for k in keys),
         F.col("frame_idx").alias("frame_index"),
         srt_text(F.col("time_seconds")).alias("time"),
         F.round("time_seconds", 3).alias("time_seconds"),
@@ -56,11 +70,28 @@ def frames_csv(detections: DataFrame) -> DataFrame:
         "labels",
         F.to_json("class_counts").alias("class_counts_json"),
         F.to_json("objects").alias("objects_json"),
-    ).orderBy("frame_index")
+    ).orderBy(*keys, "frame_index")
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"').csv(path)
+    """With a header; quotes are doubled and outer space stays."""
+    options = {"header": True, "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    df.write.mode("overwrite").options(**options).csv(path)
+
+
+def write_text_index(df: DataFrame, keys: list[str], text: str, root: str, name: str, *, files: int | None = None) -> None:
+    """A full-text index beside a table (K3, T9): postings sorted by term, so that a lookup of a word reads few row groups."""
+    index = postings(df, keys, text)
+    ordered = index.repartitionByRange(files, "term") if files else index.repartitionByRange("term")
+    ordered.sortWithinPartitions("term", *keys).write.mode("overwrite").parquet(f"{root}/{name}_fts")
+
+
+def copy_as(spark: SparkSession, source: str, target: str) -> None:
+    """A file under a second name (K11); an existing target is replaced."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    conf = spark._jsc.hadoopConfiguration()
+    one, other = path(source), path(target)
+    spark._jvm.org.apache.hadoop.fs.FileUtil.copy(one.getFileSystem(conf), one, other.getFileSystem(conf), other, False, True, conf)
 
 
 def write_json_lines(df: DataFrame, path: str) -> None:

@@ -57,11 +57,11 @@ def read_chunks_jsonl(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(CHUNK).json(path)
 
 
-def read_raw_records(spark: SparkSession, *paths: str, header: bool = True) -> DataFrame:
+def read_raw_records(spark: SparkSession, *paths: str, header: bool = True, fields: int | None = None) -> DataFrame:
     """path, record_no and raw of the records of CSV files; a line end inside quotes doesn't end a record.
 
     A file is assembled by one task in linear time; files are spread over tasks. A record whose quote never
-    closes ends with its line. With ``header`` the first record tells how many fields a record over several lines has."""
+    closes ends with its line. ``fields`` or else the header tells how many fields a record over several lines has."""
     files = spark.read.text(list(paths), wholetext=True).select(F.input_file_name().alias("path"), F.col("value"))
     schema = "path string, record_no bigint, raw string"
 
@@ -69,8 +69,8 @@ def read_raw_records(spark: SparkSession, *paths: str, header: bool = True) -> D
         for batch in batches:
             for path, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 lines = csv_lines(text)
-                fields = lines[0].count(",") + 1 if header and lines else None
-                records = [r.rstrip("\r\n") for r in assemble_lines(lines, fields)][int(header) :]
+                width = fields or (lines[0].count(",") + 1 if header and lines else None)
+                records = [r.rstrip("\r\n") for r in assemble_lines(lines, width)][int(header) :]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([path] * len(records), pa.string()), pa.array(range(len(records)), pa.int64()), pa.array(records, pa.string())],
                     names=["path", "record_no", "raw"],
@@ -79,6 +79,6 @@ def read_raw_records(spark: SparkSession, *paths: str, header: bool = True) -> D
     return files.mapInArrow(run, schema)
 
 
-def read_detections_with_faults(spark: SparkSession, *paths: str) -> DataFrame:
+def read_detections_with_faults(spark: SparkSession, *paths: str, header: bool = True) -> DataFrame:
     """Typed detections and, with a reason, the records that aren't: path, record_no, fields, raw_record, reason."""
-    return parse_records(read_raw_records(spark, *paths), "detection", keep=["path", "record_no"])
+    return parse_records(read_raw_records(spark, *paths, header=header, fields=len(REQUIRED)), "detection", keep=["path", "record_no"])

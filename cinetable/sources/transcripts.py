@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cinetable.functions.text import line_without_speaker, speaker_of_line
 from cinetable.functions.timetext import srt_ms, srt_text
+from cinetable.operators.positions import with_position
 
 BLANK_LINE = r"\n[ \t\x0B\f\r]*\n\s*"
 ARROW = r"^\s*(.*?)\s*-->\s*(.*?)\s*$"
@@ -46,7 +47,7 @@ def parse_subtitles(files: DataFrame, *, lenient: bool = False) -> DataFrame:
         F.when(numbered, F.trim(F.get("_lines", F.lit(0))).try_cast("bigint")).alias("_id"),
         srt_ms(F.regexp_extract(times, ARROW, 1)).alias("_s"),
         srt_ms(F.regexp_extract(times, ARROW, 2)).alias("_e"),
-        F.transform(said, F.trim).alias("_said"),
+        F.transform(said, lambda line: F.trim(line)).alias("_said"),
         "_at",
     )
     if lenient:
@@ -68,20 +69,22 @@ def parse_subtitles(files: DataFrame, *, lenient: bool = False) -> DataFrame:
     )
 
 
-def subtitle_texts(cues: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """keys and content: each group's cues as one subtitle text ``[speaker] text`` (K7)."""
-    number = F.row_number().over(_window(keys, order))
+def subtitle_blocks(cues: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """keys, number and block of every cue: ``[speaker] text`` under its number and times (K7).
+
+    Numbers run from 1 in ``order`` within ``keys``; a group is spread over tasks. A null speaker is ``UNK``, a null
+    text counts as "", white space in a text becomes a space (a blank line would end the block)."""
+    placed = with_position(cues, keys, order, "_n").withColumn("number", F.col("_n") + 1)
+    said = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"(?U)\s+", " "))
     block = F.format_string(
-        "%d\n%s --> %s\n[%s] %s\n", number, srt_text(F.col("start_sec")), srt_text(F.col("end_sec")), F.coalesce("speaker", F.lit("UNK")), F.coalesce("text", F.lit(""))
-    )
-    return (
-        cues.select(*keys, number.alias("_n"), block.alias("_block"))
-        .groupBy(*keys)
-        .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_n", "_block"))), lambda x: x["_block"]), "\n").alias("content"))
+        "%d\n%s --> %s\n[%s] %s\n", "number", srt_text(F.col("start_sec")), srt_text(F.col("end_sec")), F.coalesce("speaker", F.lit("UNK")), said
     )
+    return placed.select(*keys, "number", block.alias("block"))
 
 
-def _window(keys: list[str], order: str):
-    from pyspark.sql import Window
+def write_subtitles(cues: DataFrame, key: str, order: list[str], folder: str) -> None:
+    """The subtitles of every group in ``folder/key=.../`` (K7): blocks are sorted lines of text files, so no group is one row.
 
-    return Window.partitionBy(*keys).orderBy(order)
+    A group is one file or, where it is large, several that are its text in the order of their names."""
+    blocks = subtitle_blocks(cues, [key], order)
+    blocks.repartitionByRange(key, "number").sortWithinPartitions(key, "number").select(key, "block").write.mode("overwrite").partitionBy(key).text(folder)

@@ -2,10 +2,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from cinetable.operators.interval_union import IntervalMap
-from cinetable.sinks.store import detections_csv, frames_csv, register, write_csv, write_json_lines, write_table
+from cinetable.sinks.store import copy_as, detections_csv, frames_csv, older_detections_csv, register, write_csv, write_json_lines, write_table, write_text_index
 from cinetable.sources import files, models
 from cinetable.sources.detections import ocr_events, read_chunks_jsonl, read_detections, visual_events
-from cinetable.sources.transcripts import parse_subtitles, read_files, subtitle_texts
+from cinetable.sources.transcripts import parse_subtitles, read_files, write_subtitles
 from cinetable.streaming.ingest import ingest_subtitles
 from cinetable.streaming.intervals import running_periods
 
@@ -42,6 +42,12 @@ def test_strict_and_lenient(spark):
     assert lenient[0].text == "[SPK1] Bonjour, l'été est là" and len(lenient) == 4
 
 
+def test_digits_at_the_ends_of_lines_stay(spark):
+    text = "7\n00:00:01,000 --> 00:00:02,000\n0 to 100\n1 or 201\n"
+    for lenient in (True, False):
+        assert parse_subtitles(contents(spark, text), lenient=lenient).first().text == "0 to 100 1 or 201"
+
+
 def test_dialects_differ(spark):
     text = "1\n00:00:01,000 --> 00:00:02,000\n\n2\n00:00:02,000 --> 00:00:03,000\nx\n\n9\n\nnote\n"
     assert [r.text for r in parse_subtitles(contents(spark, text), lenient=True).collect()] == ["x"]
@@ -52,9 +58,10 @@ def test_dialects_differ(spark):
     assert parse_subtitles(contents(spark, None)).count() == 0
 
 
-def test_subtitle_text_round_trip(spark):
+def test_subtitle_text_round_trip(spark, tmp_path):
     cues = parse_subtitles(contents(spark, SRT))
-    again = parse_subtitles(subtitle_texts(cues, ["path"], "position"))
+    write_subtitles(cues.withColumn("v", F.lit("a")), "v", ["position"], str(tmp_path / "srt"))
+    again = parse_subtitles(read_files(spark, str(tmp_path / "srt/v=a/*.txt")))
     columns = ["utt_id", "start_sec", "end_sec", "speaker", "text"]
     assert sorted(map(tuple, again.select(*columns).collect())) == sorted(map(tuple, cues.select(*columns).collect()))
 
@@ -148,3 +155,30 @@ def test_streaming_periods(spark, tmp_path):
     got = sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect())
     assert got == [("a", 0, 5), ("a", 0, 12), ("a", 10, 12), ("b", 1, 2)]
     assert list(IntervalMap().periods()) == []
+
+
+def test_index_alias_and_older_shape(spark, tmp_path):
+    said = spark.createDataFrame([("a", 1, "Red van, red"), ("a", 2, None)], "video_id string, utt_id int, text string")
+    write_text_index(said, ["video_id", "utt_id"], "text", str(tmp_path), "utterance")
+    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "utterance_fts")).collect())) == [("a", 1, "red", 2), ("a", 1, "van", 1)]
+    (tmp_path / "t.srt").write_text(SRT)
+    for _ in range(2):
+        copy_as(spark, str(tmp_path / "t.srt"), str(tmp_path / "alias.srt"))
+    assert (tmp_path / "alias.srt").read_text() == SRT
+    df = spark.createDataFrame([(2, 1.0, "dog", 0.5, 0.0, 0.0, 1.0, 1.0, "{}")], "frame_idx int, frame_ts double, label string, conf double, x1 double, y1 double, x2 double, y2 double, extra string")
+    write_csv(older_detections_csv(df), str(tmp_path / "old"))
+    assert read_detections(spark, str(tmp_path / "old"), "v").first().frame_ts == 1.0
+
+
+def test_no_local_folder_on_a_cluster(monkeypatch):
+    from unittest.mock import MagicMock
+
+    from cinetable.plans.lineage import ensure_checkpoint_dir
+
+    cluster = MagicMock()
+    cluster.sparkContext._jsc.sc().getCheckpointDir().isDefined.return_value = False
+    cluster.conf.get.return_value = None
+    for master in ("yarn", "spark://x:1", "local-cluster[1,1,1]"):
+        cluster.sparkContext.master = master
+        with pytest.raises(RuntimeError):
+            ensure_checkpoint_dir(cluster)
