@@ -66,3 +66,11 @@ def test_found(spark):
     df = spark.createDataFrame(rows, "k string, text string")
     got = sorted(tuple(r) for r in oversized(df, ["k"], "text").collect())
     assert got == [("b", "no_space"), ("b", "over_limit"), ("c", "over_limit"), ("f", "no_space"), ("f", "over_limit"), ("g", "over_limit")]
+
+
+def test_offsets_of_a_very_long_text(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.range(1).select("id", F.repeat(F.lit("word and more. "), 1_000_000).alias("text"))
+    got = split_texts(df, "text", limit=200, overlap=10).agg(F.count("*"), F.max("piece_end"), F.sum(F.col("piece_end") - F.col("piece_start"))).first()
+    assert got[0] > 75_000 and got[1] == got[2] == 15_000_000
