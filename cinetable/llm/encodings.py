@@ -42,7 +42,6 @@ MISREAD = (
 )
 ENTER, LEAVE = -6.0, -0.5  # log-odds of beginning and ending a garbled span
 IMPOSSIBLE = -14.0
-ROUNDS = 4
 LOST = "�"
 
 COMMON_LOWER = set("éèêëàâäáçùûüúôöóîïíñßœ")
@@ -400,13 +399,12 @@ def repair(text: str | None) -> tuple[str | None, list[str], bool]:
         return text, [], False
     pairs: list[str] = []
     lost = False
-    for _ in range(ROUNDS):
-        restored, found, gone = _repair_once(text)
+    seen = set()
+    while text not in seen:  # each layer of a text garbled several times; none is taken off twice
+        seen.add(text)
+        text, found, gone = _repair_once(text)
         lost |= gone
         pairs += sorted(found)
-        if restored == text:
-            break
-        text = restored
     return text, pairs, lost
 
 

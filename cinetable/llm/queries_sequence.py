@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from cinetable.llm.nearest import events_near_speech
 from cinetable.llm.pieces import oversized, split_texts
@@ -25,6 +26,24 @@ def p2_turns(spark: SparkSession, folder: str) -> DataFrame:
     return speaker_turns(_table(spark, folder, "utterance"))
 
 
+def p2_times(spark: SparkSession, folder: str) -> DataFrame:
+    """Every turn with its times and the number of its utterances."""
+    return p2_turns(spark, folder).drop("text")
+
+
+def p3_whole(spark: SparkSession, folder: str) -> DataFrame:
+    """Every transcript window from its pieces again, and whether they keep the limits."""
+    new = F.substring("piece", F.col("overlap_chars") + 1, F.length("piece"))
+    pieces = p3_pieces(spark, folder).select(
+        "video_id", "chunk_id", F.struct("piece_no", new.alias("new")).alias("p"),
+        ((F.length("piece") <= 1200) & (F.col("overlap_chars") <= 100) & (F.col("piece_end") - F.col("piece_start") == F.length(new))).alias("ok"),
+    )
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda x: x["new"]), "")
+    return pieces.groupBy("video_id", "chunk_id").agg(joined.alias("text"), F.count("*").alias("_n"), F.min("ok").alias("within_limits")).select(
+        "video_id", "chunk_id", "text", "within_limits", (F.col("_n") > 1).alias("was_cut")
+    )
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     """Runs of two or more detections with the ids of their first and last."""
     runs = detection_runs(_table(spark, folder, "detection"), min_count=2, whole=False)
@@ -85,13 +104,13 @@ _P2_ROUND = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(
   '\[(?:blank_audio|applause|musik|aplausos|inaudible|door closes| *)\]|\((?:cough|rires|laughs|applaudissements| *)\)|<(?:noise| *)>|\*(?:music|gelächter| *)\*|\{{crosstalk\}}|♪(?: jingle)* ♪', ' ', 'g')"""
 _P2_SQL = (
     r"""
-with u as (select distinct video_id, utt_id, cast(round(start_sec * 1000) as bigint) as ms, speaker, text from utterance where start_sec is not null and text is not null),
+with u as (select distinct video_id, utt_id, cast(round(start_sec * 1000) as bigint) as ms, cast(round(end_sec * 1000) as bigint) as end_ms, speaker, text from utterance where start_sec is not null and text is not null),
 r0 as (select *, lower(text) as t0 from u),
 """
     + "".join(f"r{n + 1} as (select * exclude (t{n}), {_P2_ROUND.format(f't{n}')} as t{n + 1} from r{n}),\n" for n in range(5))
     + r"""
 marked as (
-  select video_id, utt_id, ms, speaker, regexp_extract(t5, '^[^\w]*(?:spk|speaker|sprecher|intervenant)[ _]*([0-9]+)[\])]?\s*[:\-]?', 1) as mark,
+  select video_id, utt_id, ms, end_ms, speaker, regexp_extract(t5, '^[^\w]*(?:spk|speaker|sprecher|intervenant)[ _]*([0-9]+)[\])]?\s*[:\-]?', 1) as mark,
          regexp_replace(t5, '^[^\w]*(?:spk|speaker|sprecher|intervenant)[ _]*[0-9]+[\])]?\s*[:\-]?', '') as rest from r5),
 named as (
   select *, coalesce(nullif(regexp_extract(speaker, '([0-9]+)', 1), ''),
@@ -104,7 +123,8 @@ broken as (
   select *, case when lag(who) over w = who and ms - lag(ms) over w <= 300000 then 0 else 1 end as b
   from voiced window w as (partition by video_id order by ms, utt_id)),
 turns as (select *, sum(b) over (partition by video_id order by ms, utt_id rows unbounded preceding) as turn from broken)
-select video_id, arg_min(utt_id, {'a': ms, 'b': utt_id}) as first_utt_id, arg_max(utt_id, {'a': ms, 'b': utt_id}) as last_utt_id, who as speaker
+select video_id, arg_min(utt_id, {'a': ms, 'b': utt_id}) as first_utt_id, arg_max(utt_id, {'a': ms, 'b': utt_id}) as last_utt_id, who as speaker,
+       min(ms) as start_ms, max(case when end_ms >= ms then end_ms end) as end_ms, count(*) as utterances
 from turns group by video_id, turn, who
 """
 )
@@ -129,17 +149,28 @@ b as (
       or (track is null and said is null and track0 is null and said0 is null)) then 0 else 1 end as fresh
   from n),
 r as (select *, sum(fresh) over (partition by video_id, label order by ms, det_id rows unbounded preceding) as run from b)
-select video_id, arg_min(det_id, {'a': ms, 'b': det_id}) as first_det_id, arg_max(det_id, {'a': ms, 'b': det_id}) as last_det_id
-from r group by video_id, label, run having count(*) >= 2
+select video_id, label, count(*) as run_count, arg_min(det_id, {'a': ms, 'b': det_id}) as first_det_id, arg_max(det_id, {'a': ms, 'b': det_id}) as last_det_id,
+       min(ms) / 1000 as first_frame_ts, max(ms) / 1000 as last_frame_ts, first(track order by ms, det_id) as track, first(said order by ms, det_id) as text
+from r group by video_id, label, run
 """
 
 QUERIES = {
     "p2_found": p2_found,
     "p2_turns": p2_turns,
+    "p2_times": p2_times,
     "p3_found": p3_found,
     "p3_pieces": p3_pieces,
+    "p3_whole": p3_whole,
     "p4_found": p4_found,
     "p4_runs": p4_runs,
     "p5_found": p5_found,
 }
-SQL: dict[str, str] = {"p2_found": _P2_SQL, "p3_found": _P3_SQL, "p4_found": _P4_SQL, "p5_found": _P5_SQL}
+SQL: dict[str, str] = {
+    "p2_found": f"select video_id, first_utt_id, last_utt_id, speaker from ({_P2_SQL})",
+    "p2_times": _P2_SQL,
+    "p3_found": _P3_SQL,
+    "p3_whole": "select distinct video_id, chunk_id, text, true as within_limits, length(text) > 1200 as was_cut from chunks where text <> ''",
+    "p4_found": f"select video_id, first_det_id, last_det_id from ({_P4_SQL}) where run_count >= 2",
+    "p4_runs": _P4_SQL,
+    "p5_found": _P5_SQL,
+}

@@ -91,6 +91,14 @@ class Vocabulary:
         return cls(byte_ids, np.array(rows, dtype=np.int32).T.copy())
 
 
+    def spellings(self) -> dict[int, bytes]:
+        """The bytes of every token."""
+        made = {token: bytes([byte]) for byte, token in enumerate(self.byte_ids)}
+        for left, right, _, merged in self.merges.T.tolist():
+            made[merged] = made[left] + made[right]
+        return made
+
+
 class Encoder:
     """Words to ids; one per Python worker."""
 
@@ -246,6 +254,26 @@ def encode_column(
     return source.mapInArrow(run, schema)
 
 
+def decode_column(df: DataFrame, ids: str, name: str = "text", *, vocabulary: Vocabulary | None = None, folder: str | None = None) -> DataFrame:
+    """The other columns of ``df`` and the text of its ids; null ids give null, the empty list the empty text."""
+    kept, held = other_columns(df, ids, name), free_name(df, "_ids")
+    source = df.select(*(col(c) for c in kept), col(ids).cast("array<int>").alias(held))
+    schema = T.StructType(source.schema.fields[:-1] + [T.StructField(name, T.StringType())])
+    arrow = to_arrow_schema(schema)
+    shared = df.sparkSession.sparkContext.broadcast(vocabulary or Vocabulary.load(folder=folder))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        spelt = None
+        for batch in _slices(batches):
+            spelt = spelt or shared.value.spellings()
+            lists = batch.column(batch.num_columns - 1).to_pylist()
+            texts = [None if x is None else b"".join(map(spelt.__getitem__, x)).decode("utf-8", "replace") for x in lists]
+            arrays = [batch.column(i).cast(arrow.field(i).type) for i in range(len(kept))]
+            yield pa.RecordBatch.from_arrays([*arrays, pa.array(texts, pa.string())], schema=arrow)
+
+    return source.mapInArrow(run, schema)
+
+
 def token_ids(documents: DataFrame, *, key: str = "doc_id", text: str = "text", folder: str | None = None) -> DataFrame:
     """``key`` and ``ids`` of every document."""
     return encode_column(documents.select(col(key), col(text)), text, folder=folder)

@@ -70,3 +70,10 @@ def test_operator(spark):
     assert sorted((r.doc_id, r.is_garbled, r.is_lossy) for r in out) == [(1, True, False), (1, True, False), (2, False, False), (3, False, False), (4, False, False), (5, True, False)]
     assert {r.doc_id: r.restored_text for r in out}[5] == GERMAN * 2000
     assert repair_texts(df.limit(0), "text").count() == 0
+
+
+def test_any_number_of_layers():
+    text = garbled = "Der Förster erwähnt den größten Lärm, für über drei Städte."
+    for _ in range(6):
+        garbled = garbled.encode("utf-8").decode("latin-1")
+    assert repair(garbled)[0] == text
