@@ -167,4 +167,48 @@ fused as (select query, index, 0.5 * coalesce((s2 - m2) / (d2 + 1e-9), 0) + 0.5
 ranked as (select *, row_number() over (partition by query order by score desc, index) as rank from fused)
 """
     + _RANKED.format("ranked"),
+    "mmr_rerank": "with recursive "
+    + _DENSE.strip()
+    + """,
+c as (select query, index, rank, score, embedding::double[] as v from dense join embeddings on vec_id = index where rank <= 50),
+sims as materialized (select a.query, a.index as i, b.index as j, list_inner_product(a.v, b.v) as s from c a join c b using (query)),
+picks as (
+  select distinct query, 0 as step, []::bigint[] as chosen from c
+  union all
+  select query, step + 1, list_append(chosen, arg_max(index, {'value': value, 'first': -rank})) from (
+    select p.query, p.step, p.chosen, c.index, c.rank, 0.7 * c.score - 0.3 * coalesce(max(s.s), 0) as value
+    from picks p join c using (query) left join sims s on s.query = p.query and s.i = c.index and list_contains(p.chosen, s.j)
+    where p.step < 10 and not list_contains(p.chosen, c.index) group by p.query, p.step, p.chosen, c.index, c.rank, c.score)
+  group by query, step, chosen)
+select query, unnest(chosen) as index, unnest(range(1, 11))::int as rank from picks where step = 10
+""",
+    "search_hybrid": _TEXT
+    + ","
+    + _DENSE
+    + """,
+a as (select query - 50 as query, index, rank from lex where rank <= 50),
+b as (select query, index, rank from dense where rank <= 50),
+fused as (select coalesce(a.query, b.query) as query, coalesce(a.index, b.index) as index,
+                 1.0::double / (60 + coalesce(a.rank, 10000)) + 1.0::double / (60 + coalesce(b.rank, 10000)) as score
+          from a full join b on a.query = b.query and a.index = b.index),
+top as (select * from fused qualify row_number() over (partition by query order by score desc, index) <= 50),
+held as (select row_number() over (order by video_id, chunk_id) - 1 as index, video_id, chunk_id, start_srt, end_srt, text from chk),
+words as (
+  select top.*, held.* exclude (index), list_distinct(list_filter(regexp_split_to_array(lower(coalesce(q.text, '')), '\\s+'), lambda w: w <> '')) as x,
+         list_distinct(list_filter(regexp_split_to_array(lower(coalesce(held.text, '')), '\\s+'), lambda w: w <> '')) as y
+  from top join held using (index) left join (select distinct seg_id - 50 as query, text from seg where seg_id % 50 = 0) q using (query)),
+judged as (select *, length(list_intersect(x, y)) / greatest(1, length(list_distinct(x || y)))::double as shared from words),
+placed as (select *, row_number() over (partition by query order by shared desc, index) as rank from judged)
+select query, rank::int as rank, 'hybrid-rrf+cross' as method, index, video_id, chunk_id, start_srt, end_srt, text, round(score, 6) as score from placed where rank <= 8
+""",
+    "search_context": _TEXT
+    + """,
+held as (select row_number() over (order by video_id, chunk_id) - 1 as index, start_srt, end_srt, text from chk),
+near as (
+  select t.query, t.rank, h.start_srt as f, h.end_srt as e, n.index - t.index as off, trim('[' || n.start_srt || '–' || n.end_srt || '] ' || coalesce(n.text, '')) as line
+  from lex t join held h on h.index = t.index join held n on n.index between t.index - 1 and t.index + 1 where t.rank <= 3),
+blocks as (select query, rank, '### Passage ' || rank || ' | Main: ' || f || '–' || e || chr(10) || string_agg(line, chr(10) order by off <> 0, off) as block
+           from near group by query, rank, f, e)
+select query, string_agg(block, chr(10) || chr(10) order by rank) as context from blocks group by query
+""",
 }
