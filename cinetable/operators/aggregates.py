@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cinetable.functions.jsontext import json_field
 from cinetable.functions.text import normal_text
+from cinetable.operators.windows import top_per_group
 from cinetable.plans.columns import col
 
 
@@ -46,6 +47,34 @@ def by_frame(detections: DataFrame, keys: list[str], frame: str = "frame_idx") -
     )
 
 
+def _overlap_share(a: Column, b: Column) -> Column:
+    """Intersection of two boxes over their union; 0 where both have no area."""
+    width = F.greatest(F.least(a["x2"], b["x2"]) - F.greatest(a["x1"], b["x1"]), F.lit(0.0))
+    height = F.greatest(F.least(a["y2"], b["y2"]) - F.greatest(a["y1"], b["y1"]), F.lit(0.0))
+    area = lambda box: F.greatest(box["x2"] - box["x1"], F.lit(0.0)) * F.greatest(box["y2"] - box["y1"], F.lit(0.0))
+    shared = width * height
+    union = area(a) + area(b) - shared
+    return F.when(union > 0, shared / union).otherwise(0.0)
+
+
+def suppressed(detections: DataFrame, keys: list[str], ident: str, *, min_conf: float = 0.25, iou: float = 0.7, limit: int = 300) -> DataFrame:
+    """keys, label, ``ident`` and conf of the detections that stay (F8): of a frame's boxes of one label in order of falling
+    confidence (ties: the smaller ``ident``), those that overlap no kept one by more than ``iou``; then the first ``limit`` of a frame.
+
+    ``keys`` name a frame, whose boxes of one label are gathered and compared inside the JVM. Boxes without a
+    confidence, an end or a frame are left out; null labels count as ""."""
+    box = F.struct((-F.col("conf")).alias("order"), col(ident).alias("ident"), *(F.col(c) for c in ("x1", "y1", "x2", "y2")))
+    whole = detections.where(F.col("conf") >= min_conf).dropna(subset=[*keys, "x1", "y1", "x2", "y2"]).withColumn("label", F.coalesce("label", F.lit("")))
+    boxes = whole.groupBy(*(col(k) for k in keys), "label").agg(F.array_sort(F.collect_list(box)).alias("_b"))
+    kept = F.aggregate(
+        "_b",
+        F.slice("_b", 1, 0),
+        lambda out, b: F.when(F.exists(out, lambda o: _overlap_share(o, b) > iou), out).otherwise(F.concat(out, F.array(b))),
+    )
+    rows = boxes.select(*keys, "label", F.explode(kept).alias("_k")).select(*keys, "label", F.col("_k.ident").alias(ident), (-F.col("_k.order")).alias("conf"))
+    return top_per_group(rows, keys, [F.col("conf").desc(), col(ident)], limit).drop("rank")
+
+
 def ocr_rows(detections: DataFrame, *, min_conf: float = 0.85) -> DataFrame:
     """OCR detections above a confidence with their normal text and box.
 

@@ -113,8 +113,8 @@ def speakers_by_overlap(segments: DataFrame, turns: DataFrame, keys: Sequence[st
     )
 
 
-def with_contents(results: DataFrame, contents: DataFrame) -> DataFrame:
-    """Web results with the best text there is (J7, X18, X23): id, title, url, snippet.
+def with_contents(results: DataFrame, contents: DataFrame, *, keep: Sequence[str] = ()) -> DataFrame:
+    """Web results with the best text there is (J7, X18, X23): columns ``keep``, id, title, url, snippet.
 
     A result's own trimmed text, else the content of its id, else the empty
     string; the title falls back to the url, then to ``(untitled)``."""
@@ -125,7 +125,7 @@ def with_contents(results: DataFrame, contents: DataFrame) -> DataFrame:
     text = F.coalesce(F.expr("nullif(trim(text), '')"), F.col("_content"), F.lit(""))
     title = F.coalesce(F.expr("nullif(title, '')"), F.expr("nullif(url, '')"), F.lit("(untitled)"))
     return joined.select(
-        "id", title.alias("title"), F.coalesce("url", F.lit("")).alias("url"), ellipsis(text, 800, 790, trim_end=True).alias("snippet")
+        *keep, "id", title.alias("title"), F.coalesce("url", F.lit("")).alias("url"), ellipsis(text, 800, 790, trim_end=True).alias("snippet")
     )
 
 

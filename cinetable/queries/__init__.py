@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("quality", "media", "search", "stored")
+_MODULES = ("quality", "media", "search", "stored", "relations")
 
 
 def _merged(attribute: str) -> dict:

@@ -11,7 +11,11 @@ def test_names_and_sql():
     assert set(catalogue.oracle_sql()) <= names
 
 
-@pytest.mark.parametrize("name", ["p1_found", "p6_found", "interval_join_names", "time_windows", "bm25_topk"])
+@pytest.mark.parametrize("name", [
+        "p1_found", "p6_found", "p6_file_records", "interval_join_names", "time_windows", "bm25_topk", "frame_aggregate", "word_index", "passages", "frame_sample", "speaker_prefix",
+        "spelling", "seen_periods", "mmr_rerank", "search_hybrid", "search_context", "srt_strict", "srt_lenient", "detections_csv", "frames_csv", "chunks_jsonl", "words_jsonl",
+        "store_views", "fts_join", "stored_index", "edge_degrees", "one_hop", "merged_entities", "within_budget", "kept_segments", "evidence", "suppressed_boxes",
+    ])
 def test_equals_sql_on_the_smallest_tables(spark, name):
     from tools.compare import digest, views
 

@@ -124,8 +124,21 @@ def test_plugged_models(spark):
     assert vectors[0] == pytest.approx([0.6, 0.8]) and vectors[1] == [0.0, 0.0]
     audio = spark.createDataFrame([("v", b"x")], "video_id string, content binary")
     assert models.recognised(audio, lambda b: [(0.0, 1.0, "hi")]).first().text == "hi"
-    assert models.standalone_question(lambda m: " Who? ", "", "who") == "Who?" and models.standalone_question(lambda m: "x", "", "who") == "who"
-    assert models.split_system([{"role": "system", "content": "s"}, {"role": "tool", "content": "c"}]) == ("s", [{"role": "user", "content": [{"type": "text", "text": "c"}]}])
+    turns = models.diarised(audio, lambda b: [(0.0, 1.5, "A")]).first()
+    assert (turns.turn_start_ms, turns.turn_end_ms, turns.speaker) == (0, 1500, "A")
+    sampled = models.decoded_frames(audio, lambda b: [(i, None if i else 0.1, b"i") for i in range(200)], target_fps=15)
+    assert sorted((r.frame_idx, round(r.ts, 3)) for r in sampled.collect())[:3] == [(0, 0.1), (2, 0.067), (4, 0.133)] and sampled.count() == 100
+    assert models.described_clips(audio, lambda b, q: f" {q} ", "what").first().description == "what"
+    got = {r.s: (r.result, r.error) for r in models.processed(spark.createDataFrame([("a",), ("b",), (None,)], "s string"), "s", lambda s: {"a": "out"}[s]).collect()}
+    assert got == {"a": ("out", None), "b": (None, "KeyError: 'b'"), None: (None, "no source")}
+    assert models.wav_command("a.mp3", "a.wav", "audio") == ["ffmpeg", "-y", "-i", "a.mp3", "a.wav"]
+
+
+def test_web_results(spark):
+    calls = spark.createDataFrame([("q",), ("q",), (None,)], "query string")
+    hits = [{"id": "1", "title": "", "url": "u", "text": None}, {"id": "2", "title": "t", "url": "v", "text": " own "}]
+    found = models.web_results(calls, lambda q: hits, lambda ids: [{"id": i, "text": f"c{i}"} for i in ids])
+    assert sorted(map(tuple, found.collect())) == [("q", "1", "u", "u", "c1"), ("q", "2", "t", "v", "own")]
 
 
 def test_streaming_ingest(spark, tmp_path):
