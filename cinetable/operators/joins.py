@@ -25,10 +25,12 @@ def _levels(longest: float | None, bucket: float) -> int:
 
 
 def points_in_intervals(
-    points: DataFrame, intervals: DataFrame, keys: Sequence[str], at: Column, low: Column, high: Column, *, bucket: float
+    points: DataFrame, intervals: DataFrame, keys: Sequence[str], at: Column, low: Column, high: Column, *, bucket: float, longest: float | None = None
 ) -> DataFrame:
     """Inner join: rows of both sides with equal ``keys`` and ``low <= at <= high``.
 
+    ``longest`` is a bound of the intervals' length; without it one job finds it while the plan is built.
+
     ``at`` is over columns of ``points``, ``low`` and ``high`` over those of
     ``intervals``; ``keys`` exist on both sides and appear once. An interval
     longer than ``COARSER`` buckets uses buckets ``COARSER`` times as wide, and
@@ -36,7 +38,7 @@ def points_in_intervals(
     nothing. Other names must differ between the sides.
     """
     right = intervals.withColumns({"_low": low, "_high": high}).where("_low <= _high")
-    longest = right.agg(F.max(F.col("_high") - F.col("_low"))).first()[0]
+    longest = right.agg(F.max(F.col("_high") - F.col("_low"))).first()[0] if longest is None else longest
     levels = _levels(longest, bucket)
     length = F.col("_high") - F.col("_low")
     level = F.lit(levels)

@@ -67,6 +67,20 @@ def top_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n
     return df.withColumn(name, ranked).where(F.col(name) <= n)
 
 
+def first_distinct(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int) -> DataFrame:
+    """The first ``n`` records in ``order``, of which ``df`` may hold copies with equal ``keys`` and order; no shuffle of the table.
+
+    If the first rows hold ``n`` different records, these are the first of all; else more rows are looked at. That is
+    found out by small jobs while the plan is built."""
+    rows = 4 * n
+    while True:
+        part = df.orderBy(*order).limit(rows)
+        seen, held = part.agg(F.count_distinct(F.struct(*(col(k) for k in keys))), F.count("*")).first()
+        if seen >= n or held < rows:
+            return part.dropDuplicates(list(keys)).orderBy(*order).limit(n)
+        rows *= 4
+
+
 def trimmed_history(messages: DataFrame, keys: Sequence[str], position: str, *, max_messages: int = 8, max_chars: int = 6_000) -> DataFrame:
     """The newest messages within a budget, as messages (W5): keys, position, role, content.
 

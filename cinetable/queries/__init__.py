@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("quality", "media", "search", "stored", "relations")
+_MODULES = ("quality", "media", "search", "stored", "relations", "plugged")
 
 
 def _merged(attribute: str) -> dict:

@@ -18,7 +18,7 @@ from cinetable.operators.joins import points_with_intervals, speakers_by_overlap
 from cinetable.operators.positions import with_position
 from cinetable.operators.retrieval import passages, timecodes
 from cinetable.operators.spelling import corrections
-from cinetable.operators.windows import frame_times, history_text, time_windows, top_per_group, trimmed_history
+from cinetable.operators.windows import first_distinct, frame_times, history_text, time_windows, top_per_group, trimmed_history
 from cinetable.plans.columns import to_ms
 from cinetable.queries.tables import table
 
@@ -115,10 +115,8 @@ def label_like(spark: SparkSession, folder: str) -> DataFrame:
 )
 def first_detections(spark: SparkSession, folder: str) -> DataFrame:
     """The ten earliest detections (O3): a top-n without a full sort."""
-    rows = once(spark, folder, "detection", "video_id", "frame_ts", "label", "conf")
-    return rows.select("det_id", "video_id", F.col("frame_ts").alias("timestamp"), "label", "conf").orderBy(
-        F.col("timestamp").asc_nulls_last(), "det_id"
-    ).limit(10)
+    rows = table(spark, folder, "detection").select("det_id", "video_id", F.col("frame_ts").alias("timestamp"), "label", "conf")
+    return first_distinct(rows, ["det_id"], [F.col("timestamp").asc_nulls_last(), F.col("det_id")], 10)
 
 
 _SAID = "lower(trim(regexp_replace(case when json_valid(extra) then json_extract_string(extra, '$.text') end, '\\s+', ' ', 'g')))"
@@ -252,6 +250,17 @@ def segments_on_screen(spark: SparkSession, folder: str) -> DataFrame:
     return text_segments(_screen_texts(spark, folder))
 
 
+@query(
+    "segment_totals",
+    _OCR_ROWS + "select video_id, count(*) as frames, count(*) as boxes, min(frame_ts) as first_sec, max(frame_ts) as last_sec from said group by video_id",
+)
+def segment_totals(spark: SparkSession, folder: str) -> DataFrame:
+    """What the segments of a video hold together: every reading and box once."""
+    return text_segments(_screen_texts(spark, folder)).groupBy("video_id").agg(
+        F.sum("frames").alias("frames"), F.sum(F.size("bboxes").cast("bigint")).alias("boxes"), F.min("start_sec").alias("first_sec"), F.max("end_sec").alias("last_sec")
+    )
+
+
 _SRT = "printf('%02d:%02d:%02d,%03d', {0} // 3600000, ({0} // 60000) % 60, ({0} // 1000) % 60, {0} % 1000)"
 
 

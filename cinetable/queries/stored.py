@@ -64,11 +64,12 @@ _CUES = r""", cues as (
 """
 
 
-def _subtitle_files(spark: SparkSession, folder: str) -> DataFrame:
+def subtitle_folder(spark: SparkSession, folder: str) -> str:
+    """All utterances with times as subtitle files."""
     files = shared_folder(spark, "subtitles")
     cues = once(spark, folder, "utterance", "start_sec", "end_sec", "speaker", "text", where="start_sec is not null and end_sec is not null")
     write_subtitles(cues, "video_id", ["start_sec", "utt_id"], files)
-    return read_files(spark, files)
+    return files
 
 
 def _cue_columns(cues: DataFrame) -> list:
@@ -83,14 +84,14 @@ def _cue_columns(cues: DataFrame) -> list:
 )
 def srt_strict(spark: SparkSession, folder: str) -> DataFrame:
     """All utterances as subtitle files, read in the strict dialect."""
-    cues = parse_subtitles(_subtitle_files(spark, folder))
+    cues = parse_subtitles(read_files(spark, subtitle_folder(spark, folder)))
     return cues.select(*_cue_columns(cues), "speaker", "text")
 
 
 @query("srt_lenient", _CUES + "select video_id, n as utt_id, start_ms, end_ms, line as text from cues")
 def srt_lenient(spark: SparkSession, folder: str) -> DataFrame:
     """The same files in the lenient dialect, which leaves the speaker in the text."""
-    cues = parse_subtitles(_subtitle_files(spark, folder), lenient=True)
+    cues = parse_subtitles(read_files(spark, subtitle_folder(spark, folder)), lenient=True)
     return cues.select(*_cue_columns(cues), "text")
 
 

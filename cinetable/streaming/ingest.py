@@ -10,11 +10,11 @@ from cinetable.sinks.store import write_table
 from cinetable.sources.transcripts import parse_subtitles
 
 
-def ingest_subtitles(spark: SparkSession, folder: str, root: str, checkpoint: str, *, lenient: bool = True) -> StreamingQuery:
+def ingest_subtitles(spark: SparkSession, folder: str, root: str, checkpoint: str, *, lenient: bool = True, glob: str = "*.srt") -> StreamingQuery:
     """Starts the query. A file's stem is its video_id; a file that comes again replaces its video, so a
     repeated batch changes nothing."""
     files = (
-        spark.readStream.format("text").option("wholetext", True).option("pathGlobFilter", "*.srt").load(folder)
+        spark.readStream.format("text").option("wholetext", True).option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(folder)
         .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
     )
 
