@@ -33,6 +33,7 @@ WINDOW, STRIDE = 64, 40  # places, one a byte
 BLOCK, MARGIN = 8, 4  # places that are pooled first; bytes that a filter at the last place looks beyond it
 SHORT_WORDS, SHORT_CHARS = 4, 18  # less is a name or a technical term, it makes no language
 SURE = 0.9  # a short part is a stretch of its own only if its language differs and has at least this share
+SWITCH, RUN_WINDOWS = 8.0, 2  # log-odds that a change of language inside a stretch must gain, windows that it must last
 UNSURE = 0.4  # of a stretch in which no language has this share none is named
 NO_LANGUAGE = "und"
 KNOWN_STRETCHES = 100_000  # stretches a worker keeps
@@ -234,12 +235,8 @@ def windows_of(stretch: str) -> np.ndarray:
     return np.stack([whole[at : at + WINDOW + MARGIN] for at in window_starts(len(data))])
 
 
-def _stretch_scores(model: ByteCnn, texts: Sequence[str]) -> list[tuple[str, float]]:
-    """Language and confidence of each stretch: its windows' mean log-probabilities.
-
-    ``NO_LANGUAGE`` where most letters aren't Latin, or where no language has a share of ``UNSURE``."""
-    if not texts:
-        return []
+def _window_scores(model: ByteCnn, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Log-probabilities of all windows of the stretches one after the other, and how many each has."""
     pieces = [padded(t) for t in texts]
     starts, counts, at = [], [], 0
     for piece in pieces:
@@ -248,9 +245,19 @@ def _stretch_scores(model: ByteCnn, texts: Sequence[str]) -> list[tuple[str, flo
         counts.append(len(own))
         at += len(piece)
     data = np.frombuffer(b"".join(pieces) + b" " * MARGIN, np.uint8)
-    scores = model.log_probabilities_at(data, np.array(starts))
+    return model.log_probabilities_at(data, np.array(starts)), np.array(counts)
+
+
+def _stretch_scores(model: ByteCnn, texts: Sequence[str], cuts: dict[str, list[str]] | None = None) -> list[tuple[str, float]]:
+    """Language and confidence of each stretch: its windows' mean log-probabilities.
+
+    ``NO_LANGUAGE`` where most letters aren't Latin, or where no language has a share of ``UNSURE``.
+    ``cuts`` gets the parts of the stretches whose language changes inside."""
+    if not texts:
+        return []
+    scores, counts = _window_scores(model, texts)
     ends = np.cumsum(counts)
-    means = np.add.reduceat(scores, np.concatenate([[0], ends[:-1]]), axis=0) / np.array(counts)[:, None]
+    means = np.add.reduceat(scores, np.concatenate([[0], ends[:-1]]), axis=0) / counts[:, None]
     likely = np.exp(means - means.max(axis=1, keepdims=True))
     likely /= likely.sum(axis=1, keepdims=True)
     best, share = likely.argmax(axis=1), likely.max(axis=1)
@@ -258,9 +265,59 @@ def _stretch_scores(model: ByteCnn, texts: Sequence[str]) -> list[tuple[str, flo
     for text, b, p in zip(texts, best.tolist(), share.tolist()):
         foreign = p < UNSURE or not text.isascii() and 2 * len(_LATIN.findall(text)) < sum(map(str.isalpha, text))
         out.append((NO_LANGUAGE if foreign else LANGUAGES[b], p))
+    if cuts is not None:
+        for n in np.flatnonzero(counts >= 2 * RUN_WINDOWS).tolist():
+            own = scores[ends[n] - counts[n] : ends[n]]
+            if (own.argmax(axis=1) != best[n]).sum() >= RUN_WINDOWS and len(parts := _cut(model, texts[n], own)) > 1:
+                cuts[texts[n]] = parts
     return out
 
 
+def _path(scores: np.ndarray) -> list[int]:
+    """The likeliest language of each window if every change costs ``SWITCH`` (Viterbi's algorithm)."""
+    value, back = scores[0].astype(float), []
+    for row in scores[1:]:
+        changed = int(value.argmax())
+        back.append(np.where(value >= value[changed] - SWITCH, np.arange(len(value)), changed))
+        value = np.maximum(value, value[changed] - SWITCH) + row
+    states = [int(value.argmax())]
+    for row in reversed(back):
+        states.append(int(row[states[-1]]))
+    return states[::-1]
+
+
+def _cut(model: ByteCnn, text: str, scores: np.ndarray) -> list[str]:
+    """The parts of a stretch between which the language changes for at least ``RUN_WINDOWS`` windows.
+
+    Windows tell about where; the cut is between the words that suit both languages best."""
+    runs: list[list[int]] = []
+    for n, state in enumerate(_path(scores)):
+        if runs and runs[-1][0] == state:
+            runs[-1][2] = n
+        else:
+            runs.append([state, n, n])
+    runs = [r for r in runs if r[2] - r[1] + 1 >= RUN_WINDOWS]
+    words = text.split(" ")
+    places = np.cumsum([MARGIN] + [len(_DIGIT.sub("0", w.lower()).encode("utf-8", "replace")) + 1 for w in words])
+    starts = window_starts(len(padded(text)))
+    parts, begin = [], 0
+    for (before, _, last), (after, first, _) in zip(runs, runs[1:]):
+        if before == after:
+            continue
+        inside = [w for w in range(begin + SHORT_WORDS, len(words) - SHORT_WORDS + 1) if starts[last] < places[w] < starts[first] + WINDOW]
+        if not inside:
+            continue
+        # the window that ends where the first language would, and that which begins where the second would
+        left, sizes = _window_scores(model, [" ".join(words[max(begin, w - WINDOW) : w])[-WINDOW:] for w in inside])
+        left = left[np.cumsum(sizes) - 1, before]
+        right, sizes = _window_scores(model, [" ".join(words[w : w + WINDOW])[:WINDOW] for w in inside])
+        right = right[np.cumsum(sizes) - sizes, after]
+        w = inside[int((left + right).argmax())]
+        parts.append(" ".join(words[begin:w]))
+        begin = w
+    return [*parts, " ".join(words[begin:])]
+
+
 def _epochs(windows: int, steps: int) -> int:
     """Passes that make at least ``steps`` batches, so that a small corpus is learned as well; at most 24."""
     return min(24, -(-steps * 64 // max(1, windows)))
@@ -411,7 +468,14 @@ def detect_languages(df: DataFrame, text: str, model: ByteCnn, *, with_stretches
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        network, known = shared.value, {}
+        network, known, cuts = shared.value, {}, {}
+
+        def learn(texts: set[str], cut: bool) -> None:
+            ordered = sorted(texts, key=len)
+            for at in range(0, len(ordered), 512):
+                part = ordered[at : at + 512]
+                known.update(zip(part, _stretch_scores(network, part, cuts if cut else None)))
+
         for batch in batches:
             split = [_parts(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
             scored = [_scored_parts(parts) for parts in split]
@@ -419,11 +483,13 @@ def detect_languages(df: DataFrame, text: str, model: ByteCnn, *, with_stretches
             new = {s for some in asked for s in some if s not in known}
             if len(known) + len(new) > KNOWN_STRETCHES:
                 known.clear()
+                cuts.clear()
                 new = {s for some in asked for s in some}
-            new = sorted(new, key=len)
-            for at in range(0, len(new), 512):
-                part = new[at : at + 512]
-                known.update(zip(part, _stretch_scores(network, part)))
+            learn(new, True)
+            if cuts and not cuts.keys().isdisjoint(s for some in scored for s in some):
+                split = [[(p, long) for s, long in parts for p in cuts.get(s, (s,))] for parts in split]
+                scored = [[p for s in some for p in cuts.get(s, (s,))] for some in scored]
+                learn({s for some in scored for s in some if s not in known}, False)
             done = [_described([(len(s), *known[s]) for s in some]) for some in scored]
             found = [_stretches_of(parts, known) for parts in split] if with_stretches else [None] * len(done)
             arrays = [batch.column(i).cast(arrow.field(i).type) for i in range(len(kept))]

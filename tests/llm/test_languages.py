@@ -133,3 +133,22 @@ def test_texts_of_no_known_language(spark, model):
     found = L.detect_languages(df, "t", model)
     assert [(r.language, r.languages) for r in found.orderBy("id").collect()] == [("und", None), ("und", None), (None, None)]
     assert L.mislabelled(found, "t", "l").count() == 0
+
+
+def test_a_change_inside_a_stretch(spark, model):
+    rng = random.Random(21)
+    plain = lambda x, n: sentence(rng, x, n).lower().rstrip(".")
+    texts, want = [], []
+    for first, second in (("en", "de"), ("fr", "en"), ("es", "fr"), ("de", "es")):
+        texts.append(f"{plain(first, 36)} {plain(second, 36)}")
+        want.append([first, second])
+    texts += [plain(x, 90) for x in L.LANGUAGES]
+    want += [[x] for x in L.LANGUAGES]
+    texts.append(f"{plain('en', 30)} {plain('fr', 30)} {plain('en', 30)}")
+    want.append(["en", "fr", "en"])
+    found = L.detect_languages(spark.createDataFrame(list(enumerate(texts)), "id int, t string"), "t", model)
+    for r in found.collect():
+        assert [p.language for p in r.stretches] == want[r.id]
+        assert " ".join(p.text for p in r.stretches) == texts[r.id] and r.languages == "+".join(sorted(set(want[r.id])))
+    cut = {r.id: len(r.stretches[0].text.split()) for r in found.collect()}
+    assert all(abs(cut[n] - 36) <= 3 for n in range(4))
