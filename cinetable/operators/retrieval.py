@@ -119,8 +119,12 @@ def bm25_scores(lexical: LexicalIndex, queries: DataFrame, query: str = "query_i
 # so what leaves it is bounded by questions x k, whatever words are frequent.
 
 
+#: Decimals in which scores are compared: sums that differ only by the order of their parts are ties.
+COMPARED = 9
+
+
 class _Best:
-    """The best ``k`` (score, then smaller index) a question."""
+    """The best ``k`` (score in ``COMPARED`` decimals, then smaller index) a question."""
 
     def __init__(self, questions: int, k: int) -> None:
         self.k = k
@@ -129,17 +133,19 @@ class _Best:
         self.least = np.full(questions, -np.inf)
 
     def add(self, q: int, idents: np.ndarray, scores: np.ndarray) -> None:
-        kept = np.flatnonzero(scores >= self.least[q])
+        compared = np.round(scores, COMPARED)
+        kept = np.flatnonzero(compared >= self.least[q])
         if len(kept) > self.k:
-            part = scores[kept]
+            part = compared[kept]
             kept = kept[part >= np.partition(part, -self.k)[-self.k]]  # ties included
         if not len(kept):
             return
         scores, idents = np.concatenate([self.scores[q], scores[kept]]), np.concatenate([self.idents[q], idents[kept]])
-        order = np.lexsort((idents, -scores))[: self.k]
+        compared = np.round(scores, COMPARED)
+        order = np.lexsort((idents, -compared))[: self.k]
         self.scores[q], self.idents[q] = scores[order], idents[order]
         if len(order) == self.k:
-            self.least[q] = self.scores[q][-1]
+            self.least[q] = compared[order[-1]]
 
     def batches(self, questions: np.ndarray) -> Iterator[pa.RecordBatch]:
         counts = [len(s) for s in self.scores]
@@ -151,6 +157,10 @@ class _Best:
 _RANKED = "query bigint, index bigint, score double"
 
 
+def _best_first() -> list[Column]:
+    return [F.round("score", COMPARED).desc(), F.col("index").asc()]
+
+
 def _passes(asked: DataFrame, size: Column, run: Callable[[pa.Table], DataFrame], k: int) -> DataFrame:
     """``run`` on the questions, in parts (by a hash of ``query``) of at most about ``SENT_BYTES``; then the best ``k`` of all.
 
@@ -159,12 +169,12 @@ def _passes(asked: DataFrame, size: Column, run: Callable[[pa.Table], DataFrame]
     parts = max(1, -(-int(total) // SENT_BYTES))
     mine = F.pmod(F.xxhash64("query"), F.lit(parts))
     found = reduce(DataFrame.unionByName, [run((asked.where(mine == n) if parts > 1 else asked).toArrow()) for n in range(parts)])
-    return top_per_group(found, ["query"], [F.col("score").desc(), F.col("index").asc()], k)
+    return top_per_group(found, ["query"], _best_first(), k)
 
 
 def bm25_top(lexical: LexicalIndex, queries: DataFrame, k: int, query: str = "query_id", text: str = "text") -> DataFrame:
     """query, index, score, rank of the best ``k`` (R4, O4); query and index are whole numbers. Documents without a word
-    of the query have score 0 and fill up the list in order of index.
+    of the query have score 0 and fill up the list in order of index. Scores are compared in ``COMPARED`` decimals.
 
     Documents stay where they are, words are never joined. A batch of documents is left out for a question
     whose words' greatest gains in it add up to less than its k-th best score so far, which is exact."""
@@ -175,11 +185,12 @@ def bm25_top(lexical: LexicalIndex, queries: DataFrame, k: int, query: str = "qu
 
     def run(part: pa.Table) -> DataFrame:
         ids, q = np.unique(part["query"].to_numpy(), return_inverse=True)
-        words = part["term"].combine_chunks().dictionary_encode()
-        order = np.lexsort((q, words.indices.to_numpy()))
-        term, q, weight = words.indices.to_numpy()[order], q[order], part["weight"].to_numpy()[order]
-        places = np.searchsorted(term, np.arange(len(words.dictionary) + 1))
-        shared = spark.sparkContext.broadcast((ids, {w: n for n, w in enumerate(words.dictionary.to_pylist())}, places, q, weight))
+        # in order of the words, so that a document's gains are added in the same order in every run
+        words, term = np.unique(part["term"].to_numpy(), return_inverse=True)
+        order = np.lexsort((q, term))
+        term, q, weight = term[order], q[order], part["weight"].to_numpy()[order]
+        places = np.searchsorted(term, np.arange(len(words) + 1))
+        shared = spark.sparkContext.broadcast((ids, {w: n for n, w in enumerate(words.tolist())}, places, q, weight))
 
         def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, numbers, places, q, weight = shared.value
@@ -196,7 +207,7 @@ def bm25_top(lexical: LexicalIndex, queries: DataFrame, k: int, query: str = "qu
     found = _passes(asked, F.octet_length("term") + 16, run, k).withColumn("own", F.lit(True))
     both = found.drop("rank").unionByName(empty.withColumn("own", F.lit(False)))
     scored = both.groupBy("query", "index").agg(F.max_by("score", "own").alias("score"))
-    return top_per_group(scored, ["query"], [F.col("score").desc(), F.col("index").asc()], k)
+    return top_per_group(scored, ["query"], _best_first(), k)
 
 
 def _score_words(batch: pa.RecordBatch, numbers: dict[str, int], places: np.ndarray, q: np.ndarray, weight: np.ndarray, avgdl: float, top: _Best) -> None:
@@ -218,7 +229,7 @@ def _score_words(batch: pa.RecordBatch, numbers: dict[str, int], places: np.ndar
         own = slice(places[t], places[t + 1])
         bound[q[own]] += np.maximum(weight[own] * gain[a:b].max(), 0)
         matched[q[own]] = True
-    open_questions = np.flatnonzero(matched & (bound * (1 + 1e-9) >= top.least))
+    open_questions = np.flatnonzero(matched & (bound * (1 + 1e-9) + 1e-9 >= top.least))
     for at in range(0, len(open_questions), QUESTIONS_AT_ONCE):
         some = open_questions[at : at + QUESTIONS_AT_ONCE]
         row = np.full(len(top.least), -1)

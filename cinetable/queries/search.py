@@ -61,6 +61,8 @@ filled as (
 lex as (select *, row_number() over (partition by query order by score desc, index) as rank from filled)
 """
 )
+#: The same with ties decided on rounded scores, as the operator does; sums depend on the order of their parts.
+_TEXT_ROUNDED = _TEXT.replace("order by score desc, index) as rank from filled", "order by round(score, 9) desc, index) as rank from filled")
 _DENSE = """
 dense_all as (
   select q.vec_id as query, d.vec_id as index, list_inner_product(q.embedding::double[], d.embedding::double[]) as score
@@ -182,7 +184,7 @@ picks as (
   group by query, step, chosen)
 select query, unnest(chosen) as index, unnest(range(1, 11))::int as rank from picks where step = 10
 """,
-    "search_hybrid": _TEXT
+    "search_hybrid": _TEXT_ROUNDED
     + ","
     + _DENSE
     + """,
@@ -201,7 +203,7 @@ judged as (select *, length(list_intersect(x, y)) / greatest(1, length(list_dist
 placed as (select *, row_number() over (partition by query order by shared desc, index) as rank from judged)
 select query, rank::int as rank, 'hybrid-rrf+cross' as method, index, video_id, chunk_id, start_srt, end_srt, text, round(score, 6) as score from placed where rank <= 8
 """,
-    "search_context": _TEXT
+    "search_context": _TEXT_ROUNDED
     + """,
 held as (select row_number() over (order by video_id, chunk_id) - 1 as index, start_srt, end_srt, text from chk),
 near as (

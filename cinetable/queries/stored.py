@@ -15,7 +15,7 @@ from cinetable.plans.columns import to_ms
 from cinetable.plans.lineage import shared_folder
 from cinetable.queries.media import _OCR_ROWS, _TERMS, WITH, _screen_texts, once
 from cinetable.queries.quality import _P6_SQL
-from cinetable.queries.search import _TEXT, TOP, _chunks, _text_queries, _vectors
+from cinetable.queries.search import _TEXT_ROUNDED, TOP, _chunks, _text_queries, _vectors
 from cinetable.queries.tables import table
 from cinetable.sinks.store import detections_csv, frames_csv, register, write_csv, write_json_lines, write_table, write_text_index
 from cinetable.sources.detections import read_chunks_jsonl, read_detections, read_detections_with_faults
@@ -180,7 +180,7 @@ def fts_join(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     "stored_index",
-    _TEXT
+    _TEXT_ROUNDED
     + """, chosen as (select row_number() over (order by video_id, chunk_id) - 1 as index, chunk_id, start_srt from chk)
 select query, index, chunk_id, start_srt, round(score, 6) as score, cast(rank as int) as rank from lex join chosen using (index) where rank <= 10
 """,
