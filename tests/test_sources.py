@@ -131,6 +131,7 @@ def test_plugged_models(spark):
     assert models.described_clips(audio, lambda b, q: f" {q} ", "what").first().description == "what"
     got = {r.s: (r.result, r.error) for r in models.processed(spark.createDataFrame([("a",), ("b",), (None,)], "s string"), "s", lambda s: {"a": "out"}[s]).collect()}
     assert got == {"a": ("out", None), "b": (None, "KeyError: 'b'"), None: (None, "no source")}
+    assert models.download_command("https://x/v", "out")[-2:] == ["out/%(id)s.%(ext)s", "https://x/v"]
     assert models.wav_command("a.mp3", "a.wav", "audio") == ["ffmpeg", "-y", "-i", "a.mp3", "a.wav"]
 
 
