@@ -188,7 +188,8 @@ select query, unnest(chosen) as index, unnest(range(1, 11))::int as rank from pi
     + ","
     + _DENSE
     + """,
-a as (select query - 50 as query, index, rank from lex where rank <= 50),
+-- a question without a text has no lexical list
+a as (select query - 50 as query, index, rank from lex where rank <= 50 and query in (select seg_id from seg where text is not null)),
 b as (select query, index, rank from dense where rank <= 50),
 fused as (select coalesce(a.query, b.query) as query, coalesce(a.index, b.index) as index,
                  1.0::double / (60 + coalesce(a.rank, 10000)) + 1.0::double / (60 + coalesce(b.rank, 10000)) as score
