@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-SRT_TIME = r"^(\d{2}):(\d{2}):(\d{2}),(\d{3})$"
+#: As srt_text writes it: hours have two digits or more. Twelve are the most whose milliseconds a bigint holds in any case.
+SRT_TIME = r"^(\d{2,12}):(\d{2}):(\d{2}),(\d{3})$"
 
 
 def _part(text: Column, group: int) -> Column:
@@ -18,7 +19,7 @@ def _ms(text: Column) -> Column:
 
 
 def srt_ms(text: Column, *, strict: bool = True) -> Column:
-    """``HH:MM:SS,mmm`` to milliseconds (X1). Bad text raises with ``strict``, else gives null; null stays null."""
+    """``HH:MM:SS,mmm``, with more digits from 100 hours, to milliseconds (X1). Bad text raises with ``strict``, else gives null; null stays null."""
     good = text.rlike(SRT_TIME)
     bad = F.raise_error(F.concat(F.lit("no subtitle time: "), text)).cast("bigint") if strict else F.lit(None).cast("bigint")
     return F.when(text.isNull(), F.lit(None).cast("bigint")).when(good, _ms(text)).otherwise(bad)
