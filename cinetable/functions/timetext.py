@@ -9,12 +9,11 @@ from pyspark.sql import functions as F
 SRT_TIME = r"^(\d{2,12}):(\d{2}):(\d{2}),(\d{3})$"
 
 
-def _part(text: Column, group: int) -> Column:
-    return F.regexp_extract(text, SRT_TIME, group).try_cast("bigint")
-
-
 def _ms(text: Column) -> Column:
-    hours, minutes, seconds, ms = (_part(text, g) for g in (1, 2, 3, 4))
+    """Of a text that is a subtitle time: its parts lie at known places behind the hours, so one regular expression, the test, is enough."""
+    first = F.substring_index(text, ":", 1)
+    behind = F.length(first)
+    hours, minutes, seconds, ms = (x.try_cast("bigint") for x in (first, *(text.substr(behind + at, F.lit(n)) for at, n in ((2, 2), (5, 2), (8, 3)))))
     return ((hours * 60 + minutes) * 60 + seconds) * 1000 + ms
 
 

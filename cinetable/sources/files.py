@@ -2,10 +2,42 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MEDIA = ("mp4", "mov", "mkv", "avi")
+#: Tasks a core that list many folders or read many files; Spark starts up to 10,000 to list them, and one for every few small files.
+TASKS_PER_CORE = 4
+#: Files are read by more tasks where that many would have more bytes each.
+TASK_BYTES = 64 << 20
+_LISTING = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+
+
+def _tasks(spark: SparkSession) -> int:
+    return min(10_000, TASKS_PER_CORE * spark.sparkContext.defaultParallelism)
+
+
+@contextmanager
+def listed_by_few_tasks(spark: SparkSession) -> Iterator[None]:
+    """What is read herein lists its folders by few tasks; the setting of the session is restored."""
+    before = spark.conf.get(_LISTING, None)
+    spark.conf.set(_LISTING, _tasks(spark))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_LISTING)
+        else:
+            spark.conf.set(_LISTING, before)
+
+
+def in_few_tasks(rows: DataFrame, files: DataFrame) -> DataFrame:
+    """``rows``, a projection of ``files`` as they were read, by few tasks without a shuffle."""
+    size = int(str(files._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return rows.coalesce(max(_tasks(files.sparkSession), -(-size // TASK_BYTES)))
 
 
 def list_files(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:

@@ -8,14 +8,17 @@ from pyspark.sql import functions as F
 from cinetable.functions.text import line_without_speaker, speaker_of_line
 from cinetable.functions.timetext import srt_ms, srt_text
 from cinetable.operators.positions import with_position
+from cinetable.sources.files import in_few_tasks, listed_by_few_tasks
 
 BLANK_LINE = r"\n[ \t\x0B\f\r]*\n\s*"
 ARROW = r"^\s*(.*?)\s*-->\s*(.*?)\s*$"
 
 
 def read_files(spark: SparkSession, *paths: str) -> DataFrame:
-    """path and content of text files, one row each."""
-    return spark.read.text(list(paths), wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("content"))
+    """path and content of text files, one row each. Many small files share a task."""
+    with listed_by_few_tasks(spark):
+        files = spark.read.text(list(paths), wholetext=True)
+    return in_few_tasks(files.select(F.input_file_name().alias("path"), F.col("value").alias("content")), files)
 
 
 def parse_subtitles(files: DataFrame, *, lenient: bool = False) -> DataFrame:
@@ -45,11 +48,12 @@ def parse_subtitles(files: DataFrame, *, lenient: bool = False) -> DataFrame:
     cues = cues.select(
         "path",
         F.when(numbered, F.trim(F.get("_lines", F.lit(0))).try_cast("bigint")).alias("_id"),
-        srt_ms(F.regexp_extract(times, ARROW, 1)).alias("_s"),
-        srt_ms(F.regexp_extract(times, ARROW, 2)).alias("_e"),
+        F.regexp_extract(times, ARROW, 1).alias("_from"),
+        F.regexp_extract(times, ARROW, 2).alias("_to"),
         F.transform(said, lambda line: F.trim(line)).alias("_said"),
         "_at",
     )
+    cues = cues.select("path", "_id", srt_ms(F.col("_from")).alias("_s"), srt_ms(F.col("_to")).alias("_e"), "_said", "_at")
     if lenient:
         cues = cues.where(F.array_join("_said", "") != "")
         speaker, text = F.lit(None).cast("string"), F.array_join("_said", " ")

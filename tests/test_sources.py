@@ -196,3 +196,36 @@ def test_no_local_folder_on_a_cluster(monkeypatch):
         cluster.sparkContext.master = master
         with pytest.raises(RuntimeError):
             ensure_checkpoint_dir(cluster)
+
+
+@pytest.fixture
+def many_folders(spark, tmp_path):
+    """A folder each for 100 files, of which Spark by itself gives a task one."""
+    for n in range(100):
+        (tmp_path / f"in/video_id={n}").mkdir(parents=True)
+        (tmp_path / f"in/video_id={n}/{n}.srt").write_text(SRT)
+    settings = {"spark.sql.files.maxPartitionBytes": "4m", "spark.sql.shuffle.partitions": "5"}
+    before = {key: spark.conf.get(key) for key in settings}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    yield str(tmp_path / "in")
+    for key, value in before.items():
+        spark.conf.set(key, value)
+
+
+def most_tasks(spark, group):
+    tracker = spark.sparkContext.statusTracker()
+    stages = [s for job in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(job).stageIds]
+    return max(tracker.getStageInfo(s).numTasks for s in stages if tracker.getStageInfo(s))
+
+
+def test_many_files_few_tasks(spark, many_folders):
+    listing = spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism", None)
+    spark.sparkContext.setJobGroup("many files", "")
+    try:
+        found = parse_subtitles(read_files(spark, many_folders))
+        assert found.count() == 400 and found.select("path").distinct().count() == 100
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert most_tasks(spark, "many files") <= 16
+    assert spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism", None) == listing
