@@ -150,6 +150,6 @@ def rescaled_times(spark: SparkSession, folder: str) -> DataFrame:
 def streamed_cues(spark: SparkSession, folder: str) -> DataFrame:
     """Subtitle files taken into the store as a stream (ST3): here each arrives as a file of its own."""
     source, root = subtitle_folder(spark, folder), shared_folder(spark, "stream")
-    ingest_subtitles(spark, source, f"{root}/store", f"{root}/progress", glob="*.txt").awaitTermination()
+    ingest_subtitles(files.session_for_small_files(spark), source, f"{root}/store", f"{root}/progress", glob="*.txt").awaitTermination()
     stored = spark.read.parquet(f"{root}/store/utterance")
     return stored.agg(F.count("*").alias("cues"), F.sum(to_ms(F.col("start_sec"))).alias("starts"), F.sum(F.length("text")).alias("letters"))

@@ -13,6 +13,8 @@ MEDIA = ("mp4", "mov", "mkv", "avi")
 TASKS_PER_CORE = 4
 #: Files are read by more tasks where that many would have more bytes each.
 TASK_BYTES = 64 << 20
+#: What a file counts besides its bytes where files are dealt to the tasks of a stream (Spark: 4 MB).
+OPEN_COST = 1 << 16
 _LISTING = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
 
 
@@ -40,6 +42,18 @@ def in_few_tasks(rows: DataFrame, files: DataFrame) -> DataFrame:
     return rows.coalesce(max(_tasks(files.sparkSession), -(-size // TASK_BYTES)))
 
 
+def session_for_small_files(spark: SparkSession) -> SparkSession:
+    """A session with the settings of ``spark`` that lists folders by few tasks and gives a task many small files: a stream asks
+    its session for both as long as it runs."""
+    own = spark.newSession()
+    for key, value in spark.conf.getAll.items():
+        if spark.conf.isModifiable(key):
+            own.conf.set(key, value)
+    own.conf.set(_LISTING, _tasks(spark))
+    own.conf.set("spark.sql.files.openCostInBytes", OPEN_COST)
+    return own
+
+
 def list_files(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:
     """path, modified and length of all files below a folder; contents are not read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(folder)

@@ -19,8 +19,11 @@ def ingest_subtitles(spark: SparkSession, folder: str, root: str, checkpoint: st
     )
 
     def store(batch: DataFrame, _: int) -> None:
-        cues = parse_subtitles(batch, lenient=lenient)
         stem = F.regexp_extract("path", r"([^/]+)\.[^./]+$", 1)
-        write_table(cues.withColumn("video_id", stem).drop("path", "position"), root, "utterance", sort=("start_sec",))
+        cues = parse_subtitles(batch, lenient=lenient).withColumn("video_id", stem).drop("path", "position").persist()
+        try:  # the bounds of the sorted files come from a sample, for which the files would be read once more
+            write_table(cues, root, "utterance", sort=("start_sec",))
+        finally:
+            cues.unpersist()
 
     return files.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -5,6 +5,7 @@ from cinetable.operators.interval_union import IntervalMap
 from cinetable.sinks.store import copy_as, detections_csv, frames_csv, older_detections_csv, register, write_csv, write_json_lines, write_table, write_text_index
 from cinetable.sources import files, models
 from cinetable.sources.detections import ocr_events, read_chunks_jsonl, read_detections, visual_events
+from cinetable.sources.files import session_for_small_files
 from cinetable.sources.transcripts import parse_subtitles, read_files, write_subtitles
 from cinetable.streaming.ingest import ingest_subtitles
 from cinetable.streaming.intervals import running_periods
@@ -229,3 +230,12 @@ def test_many_files_few_tasks(spark, many_folders):
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert most_tasks(spark, "many files") <= 16
     assert spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism", None) == listing
+
+
+def test_stream_of_many_files_few_tasks(spark, many_folders, tmp_path):
+    own = session_for_small_files(spark)
+    assert own.conf.get("spark.sql.shuffle.partitions") == "5" and own.conf.get("spark.sql.files.maxPartitionBytes") == "4m"
+    stream = ingest_subtitles(own, many_folders, str(tmp_path / "store"), str(tmp_path / "cp"))
+    stream.awaitTermination()
+    assert most_tasks(spark, str(stream.runId)) <= 16
+    assert spark.read.parquet(str(tmp_path / "store/utterance")).count() == 400
